@@ -51,15 +51,18 @@ def _shut(tag: str, attrs: str, inside: bool) -> bool:
         name, value = name.lower(), next((v for v in values if v), "").lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
             return True
-        if name in ("class", "id", "role") and any(set(re.split(r"[^a-z]+", w)) & NAMES and not _content_name(w) for w in value.split()):
+        if name in ("class", "id", "role") and any(_other_name(w, inside) for w in value.split()):
             return True
     return False
 
 
-def _content_name(word: str) -> bool:
-    """Names such as article-header or post-content-ad are judged by their last part."""
+def _other_name(word: str, inside: bool) -> bool:
+    """Whether a class, id or role names what isn't the article; no-sidebar, sidebar-layout and ad-free-content don't."""
     parts = [p for p in re.split(r"[^a-z]+", word) if p]
-    return bool(parts) and parts[-1] not in NAMES and parts[-1] in {"article", "content", "body", "text", "post", "entry", "main", "story", "title"}
+    if not parts or parts[0] in {"no", "has", "with", "without"} or parts[-1] in {"layout", "page", "template", "article", "content", "body", "text", "post", "entry", "main", "story", "title"}:
+        return False
+    found = NAMES.intersection(parts)
+    return bool(found) and not (inside and found == {"header"})
 
 
 def blocks(page: str) -> list[tuple[str, bool, bool, list[str]]]:

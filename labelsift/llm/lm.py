@@ -110,9 +110,17 @@ def _shared(blob) -> tuple[Tree, _Codes]:
     return tree, _Codes(tree.words)
 
 
+def _end(tree: Tree) -> int:
+    """Id of the end token, -2 if it is no head word: then unknown words part the texts."""
+    kept = tree.__dict__
+    if "_end" not in kept:
+        kept["_end"] = tree.words.index(END) if END in tree.words else -2
+    return kept["_end"]
+
+
 def _context_ids(tree: Tree, ids: np.ndarray, order: int) -> np.ndarray:
     """Key of the ``order`` words before each token, -1 where there are fewer or one isn't a head word or ends a text."""
-    end = tree.words.index(END) if END in tree.words[:64] else -2
+    end = _end(tree)
     out = np.full(len(ids), -1, np.int64)
     if order == 1:
         out[1:] = np.where(ids[:-1] == end, -1, ids[:-1])
@@ -146,20 +154,19 @@ def _next_counts(train: DataFrame, blob, order: int, contexts, flush: int = 1 <<
             return pa.RecordBatch.from_arrays([pa.array(c), pa.array(w), pa.array(n.astype(np.int64))], ["context", "word", "n"])
 
         for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                ids = codes(_tokens(t))
-                c = _context_ids(tree, ids, order)
-                k = c >= 0
-                if order > 1:
-                    i = np.searchsorted(allowed, c)
-                    k &= allowed[np.minimum(i, len(allowed) - 1)] == c
-                else:
-                    k &= np.r_[allowed, False][c]
-                pend.append(np.stack([c[k], np.where(ids[k] < 0, (1 << 20) - 1, ids[k])], 1))
-                held += len(pend[-1])
-                if held > flush:
-                    yield out()
-                    pend, held = [], 0
+            ids = codes([w for t in b.column(0).cast(pa.binary()).to_pylist() for w in _tokens(t)])  # end tokens part the texts
+            c = _context_ids(tree, ids, order)
+            k = c >= 0
+            if order > 1:
+                i = np.searchsorted(allowed, c)
+                k &= allowed[np.minimum(i, len(allowed) - 1)] == c
+            else:
+                k &= np.r_[allowed, False][c]
+            pend.append(np.stack([c[k], np.where(ids[k] < 0, (1 << 20) - 1, ids[k])], 1))
+            held += len(pend[-1])
+            if held > flush:
+                yield out()
+                pend, held = [], 0
         if held:
             yield out()
 
@@ -199,30 +206,37 @@ def _grow(tree: Tree, order: int, entries: np.ndarray, totals: dict) -> None:
     tree.logs.append(v[s])
 
 
-def _states(tree: Tree, order: int) -> tuple[np.ndarray, np.ndarray]:
-    g = tree.gamma[order - 1]
-    k = np.array(sorted(g), np.int64)
-    return k, np.array([g[x] for x in k.tolist()])
+def _states(tree: Tree, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context keys in order, their log weights and their numbers in entry keys; worked out once for each tree."""
+    kept = tree.__dict__.setdefault("_kept", {})
+    if order not in kept:
+        g = tree.gamma[order - 1]
+        k = np.array(sorted(g), np.int64)
+        names = {c: m for m, c in enumerate(g)}
+        kept[order] = k, np.array([g[x] for x in k.tolist()]), (np.array([names[x] for x in k.tolist()], np.int64) if order > 1 else k)
+    return kept[order]
 
 
 def log_next(tree: Tree, order: int, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> np.ndarray:
     """log10 P(word | longest state that is a suffix of ``context``); word -1 is none of the head words, ``base`` its own."""
     if order == 0:
         return base
-    k, g = _states(tree, order)
-    lower = log_next(tree, order - 1, context & ((1 << 20) - 1) if order > 1 else context, word, base)
+    k, g, numbers = _states(tree, order)
+    out = log_next(tree, order - 1, context & ((1 << 20) - 1) if order > 1 else context, word, base)
     if not len(k):
-        return lower
+        return out
     at = np.minimum(np.searchsorted(k, context), len(k) - 1)
-    on = k[at] == context
-    out = np.where(on, g[at] + lower, lower)
-    names = {c: m for m, c in enumerate(tree.gamma[order - 1])} if order > 1 else None
-    number = np.array([names[x] for x in k.tolist()], np.int64)[at] if names is not None else context
-    key = number * (1 << 20) + word
+    on = np.flatnonzero(k[at] == context)
+    out = out.copy()
+    out[on] += g[at[on]]
     t = tree.keys[order - 1]
-    i = np.minimum(np.searchsorted(t, key), max(len(t) - 1, 0))
-    hit = on & (word >= 0) & (t[i] == key) if len(t) else np.zeros(len(word), bool)
-    return np.where(hit, tree.logs[order - 1][i], out) if len(t) else out
+    if len(t):
+        on = on[word[on] >= 0]
+        key = numbers[at[on]] * (1 << 20) + word[on]
+        i = np.minimum(np.searchsorted(t, key), len(t) - 1)
+        hit = t[i] == key
+        out[on[hit]] = tree.logs[order - 1][i[hit]]
+    return out
 
 
 def _columns(df: DataFrame) -> np.ndarray:
@@ -248,7 +262,7 @@ def train_tree(train: DataFrame, word_share: float = 1e-6, context_share: float
         totals = {r.context: r.n for r in pairs.groupBy("context").agg(F.sum("n").alias("n")).collect()}  # allowed contexts: at most 1 / context_share
         entries = _columns(pairs.where((F.col("n") >= floor) & (F.col("word") < (1 << 20) - 1)).select("context", "word", "n"))  # at most 1 / entry_share
         _grow(tree, order, entries, totals)
-        end = tree.words.index(END) if END in tree.words else -2
+        end = _end(tree)
         often = entries[(entries[:, 2] >= max(2, context_share * total)) & (entries[:, 1] != end)]
         allowed = np.sort(often[:, 0] << _SHIFT | often[:, 1])
         contexts.unpersist()
@@ -270,17 +284,26 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
         depth = len(tree.gamma)
         row = TaskContext.get().partitionId() << 36
         for b in batches:
+            tokens = [_tokens(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            n = np.array([len(t) for t in tokens], np.int64)
+            flat = [w for t in tokens for w in t]
+            ids = codes(flat)
+            p0 = base[ids]
+            p = np.array(log_next(tree, depth, _context_ids(tree, ids, depth), ids, p0))
+            if depth > 1:  # after one word only, or after an unknown one and a known, there is the shorter context
+                short = np.flatnonzero(_context_ids(tree, ids, depth) < 0)
+                p[short] = log_next(tree, 1, _context_ids(tree, ids, 1)[short], ids[short], p0[short])
+            ends = np.cumsum(n)
+            starts = ends - n
+            add = lambda v: np.add.reduceat(v, starts) if len(starts) else v
+            head, base_sum, score_sum = add((ids >= 0).astype(np.int64)), add(p0), add(p)
             out = []
-            for text, held in zip(b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
-                tokens = _tokens(text)
-                ids = codes(tokens)
-                p0 = base[ids]
-                p = log_next(tree, depth, _context_ids(tree, ids, depth), ids, p0) if depth else p0
-                if depth > 1:  # the first word after a text's start, or after an unknown one, has the shorter context
-                    short = _context_ids(tree, ids, depth) < 0
-                    p = np.where(short, log_next(tree, 1, _context_ids(tree, ids, 1), ids, p0), p)
-                rare, times = np.unique(_hash([tokens[k] for k in np.flatnonzero(ids < 0)]), return_counts=True)
-                out.append((row, held, len(ids), int((ids >= 0).sum()), float(p0.sum()), float(p.sum()), rare.tolist(), times.tolist()))
+            rare_at = np.flatnonzero(ids < 0)
+            rare_hash = _hash([flat[k] for k in rare_at.tolist()])
+            cut = np.searchsorted(rare_at, np.r_[starts, len(flat)])
+            for k, held in enumerate(b.column(2).to_pylist()):
+                rare, times = np.unique(rare_hash[cut[k] : cut[k + 1]], return_counts=True)
+                out.append((row, held, int(n[k]), int(head[k]), float(base_sum[k]), float(score_sum[k]), rare.tolist(), times.tolist()))
                 row += 1
             cols = list(zip(*out, strict=True)) if out else [()] * 8
             kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]

@@ -63,15 +63,15 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float
         for m in MARGINS:
             now = F.sum("w").over(Window.partitionBy(m))
             w = w.withColumn("w", F.when(now > 0, F.col("w") * F.col(f"t_{m}") * F.lit(float(total)) / now).otherwise(0.0))
-        if k % 4 == 3:
-            w = materialize(w, "raked")
+        w = materialize(w, "raked")  # a few hundred bytes; short plans keep generated code small
     return w.select(*MARGINS, "n", "w")
 
 
 def mix(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float = 0.8, rounds: int = 8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, source, lang, topic, probability, kept."""
-    keyed = _keyed(docs, id_col, text_col)
-    cells = materialize(keyed.groupBy(*MARGINS).agg(F.sum(F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0))).alias("n")), "cells")
+    tokens = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("n")
+    keyed = materialize(_keyed(docs, id_col, text_col).select("_id", *MARGINS, tokens), "keyed")  # texts are read once
+    cells = materialize(keyed.groupBy(*MARGINS).agg(F.sum("n").alias("n")), "cells")
     cells_with = cells.where("n > 0")
     ratio = materialize(rake(cells_with, targets, temper, rounds).withColumn("r", F.col("w") / F.col("n")), "ratios")
     top, count = ratio.agg(F.max("r"), F.count(F.lit(1))).first()

@@ -76,30 +76,34 @@ class Ordinal:
         return 1 / (1 + np.exp(np.clip(self.thresholds[None] - margin[:, None], -40, 40)))
 
 
-def severity(texts: list[set[str]], toxic: np.ndarray, grades: int) -> np.ndarray:
-    """Grades of training texts; see the module."""
-    seen = {y: Counter() for y in (0, 1)}
-    for w, y in zip(texts, toxic, strict=True):
-        seen[int(y)].update({f for x in w for f in features(x)})
-    n0, n1 = max(1, int((toxic == 0).sum())), max(1, int(toxic.sum()))
-    marks = {f for f, c in seen[1].items() if c >= 3 and c / n1 > 20 * (seen[0][f] + 0.5) / n0}
-    told = np.array([sum(any(f in marks for f in features(x)) for x in w) for w in texts])
-    out = np.zeros(len(texts), int)
+def slots(text: str | None) -> np.ndarray:
+    """The hashed features of a text, each once."""
+    return np.unique(np.fromiter((slot(f) for w in words(text) for f in features(w)), np.int32))
+
+
+def severity(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, grades: int) -> np.ndarray:
+    """Grades of training texts from their features (``col`` of ``row``); see the module."""
+    n1 = max(1, int(toxic.sum()))
+    n0 = max(1, len(toxic) - n1)
+    seen1 = np.bincount(col, toxic[row])
+    seen0 = np.bincount(col) - seen1
+    marks = (seen1 >= 3) & (seen1 / n1 > 20 * (seen0 + 0.5) / n0)
+    told = np.bincount(row, marks[col], len(toxic))
+    out = np.zeros(len(toxic), int)
     if toxic.any():
         cuts = np.quantile(told[toxic == 1], np.linspace(0, 1, grades)[1:-1])
         out[toxic == 1] = 1 + np.searchsorted(cuts, told[toxic == 1], side="right")
     return out
 
 
-def fit(texts: list[set[str]], toxic: np.ndarray, grades: int = 4, rounds: int = 400, rate: float = 0.3, l1: float = 1e-4, screen: float = 5.0) -> Ordinal:
-    """Proximal adaptive gradient on the cumulative-link likelihood."""
-    if len(texts) == 0 or toxic.min() == toxic.max():
-        return Ordinal(np.zeros(1 << BITS, np.float32), np.full(grades - 1, 40.0))
-    grade = severity(texts, toxic, grades)
-    rows = [sorted({slot(f) for x in w for f in features(x)}) for w in texts]
-    col = np.fromiter((s for r in rows for s in r), np.int64)
+def fit(rows: list[np.ndarray], toxic: np.ndarray, grades: int = 4, rounds: int = 400, rate: float = 0.3, l1: float = 1e-4, screen: float = 5.0) -> Ordinal:
+    """Proximal adaptive gradient on the cumulative-link likelihood; ``rows`` are the features of each text."""
+    nothing = Ordinal(np.zeros(1 << BITS, np.float32), np.full(grades - 1, 40.0))
+    if len(rows) == 0 or toxic.min() == toxic.max() or not any(map(len, rows)):
+        return nothing
     row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    used, col = np.unique(col, return_inverse=True)
+    used, col = np.unique(np.concatenate(rows), return_inverse=True)
+    grade = severity(row, col, toxic, grades)
     both = np.bincount(col), np.bincount(col, toxic[row])
     n1 = toxic.mean()
     z = (both[1] - n1 * both[0]) / np.sqrt(np.maximum(both[0] * n1 * (1 - n1), 1e-9))
@@ -107,7 +111,7 @@ def fit(texts: list[set[str]], toxic: np.ndarray, grades: int = 4, rounds: int =
     used, number = used[tells], np.cumsum(tells) - 1
     row, col = row[tells[col]], number[col[tells[col]]]
     if not len(used):
-        return Ordinal(np.zeros(1 << BITS, np.float32), np.full(grades - 1, 40.0))
+        return nothing
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-8)
     k = np.arange(1, grades)
     above = (grade[:, None] >= k).astype(float)
@@ -138,12 +142,13 @@ def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([list(words(t)) for t in b.column(0).to_pylist()], pa.list_(pa.string())), b.column(1)], ["w", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([slots(t) for t in b.column(0).to_pylist()], pa.list_(pa.int32())), b.column(1)], ["w", "y"])
 
     # at most 3 * sample ids are broadcast; of texts of one id the first by content takes part
     chosen = texts.join(F.broadcast(picked), "_id").groupBy("_id").agg(F.min("_text").alias("_text"), F.first("_y").alias("_y")).orderBy("_id")
-    got = chosen.select("_text", "_y").mapInArrow(run, "w array<string>, y int").toArrow()
-    return fit([set(x) for x in got.column(0).to_pylist()], np.array(got.column(1).to_pylist(), int), grades)
+    got = chosen.select("_text", "_y").mapInArrow(run, "w array<int>, y int").toArrow()
+    rows = [np.asarray(x.values) for c in got.column(0).chunks for x in c]
+    return fit(rows, np.array(got.column(1).to_pylist(), int), grades)
 
 
 def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

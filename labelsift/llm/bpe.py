@@ -30,7 +30,7 @@ from .common import documents, prepare
 
 #: Fixed value: the split pattern of the supported files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS_KEPT = 600_000
+WORDS_KEPT = 400_000
 JOINS_KEPT = 300_000
 
 
@@ -70,9 +70,9 @@ class TrieBPE:
         self.latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+")
         self.plain = regex.compile("[\x00-ɏ]*")
         self.known: dict[str, bytes] = {}
-        #: vocabulary entries: whether their own symbols encode to them, once that has been asked
-        self.whole: dict[str, bool | None] = dict.fromkeys(self.vocab)
-        self.joins: dict[tuple[str, str], bool] = {}
+        #: vocabulary entries: their ids if their own symbols encode to them, else -2; -1 until that has been asked
+        self.whole: dict[str, int] = dict.fromkeys(self.vocab, -1)
+        self.joins: dict[int, bool] = {}
 
     # -- words
 
@@ -107,28 +107,33 @@ class TrieBPE:
             return [*head[:-1], head[-1] + self.suffix] if head else list(token)
         return list(token)
 
-    def stands(self, a: str, b: str) -> bool:
+    def stands(self, a: int, b: int) -> bool:
         """Whether token b can follow token a: their symbols together encode to just these two."""
         if len(self.joins) > JOINS_KEPT:
             self.joins.clear()
-        got = self.joins[a, b] = self.merge(self._parts(a) + self._parts(b)) == [a, b]
+        pair = [self.token[a], self.token[b]]
+        got = self.joins[a << 20 | b] = self.merge(self._parts(pair[0]) + self._parts(pair[1])) == pair
         return got
 
-    def _last(self, prefix: str, end: int, suffix: str, tokens: list[str]) -> tuple[str, int]:
+    def _last(self, prefix: str, end: int, suffix: str, tokens: list[int]) -> tuple[int, int]:
         """The last token of ``prefix[:end]`` and where it starts; ``tokens`` has the last tokens of shorter prefixes."""
         whole, joins = self.whole, self.joins
         for start in range(max(0, end - self.longest), end):
-            t = prefix[start:end] + suffix
-            ok = whole.get(t)
-            if ok is None and t in whole:
-                ok = whole[t] = self.merge(self._parts(t)) == [t]
-            if ok:
-                if not start:
-                    return t, 0
-                before = tokens[start - 1]
-                fits = joins.get((before, t))
-                if fits or fits is None and self.stands(before, t):
-                    return t, start
+            t = whole.get(prefix[start:end] + suffix)
+            if t is None:
+                continue
+            if t < 0:
+                if t == -1:  # not asked yet whether its own symbols encode to it
+                    s = prefix[start:end] + suffix
+                    t = whole[s] = self.vocab[s] if self.merge(self._parts(s)) == [s] else -2
+                if t < 0:
+                    continue
+            if not start:
+                return t, 0
+            before = tokens[start - 1]
+            fits = joins.get(before << 20 | t)
+            if fits or fits is None and self.stands(before, t):
+                return t, start
         raise ValueError(f"no encoding of {prefix[:end]!r}")
 
     # -- the trie
@@ -136,7 +141,7 @@ class TrieBPE:
     def learn(self, words: set[str]) -> None:
         """Encode new words by one depth-first walk over their trie."""
         path, tokens, starts = "", [], []  # the prefix walked to; last token of each prefix, and where it starts
-        vocab, suffix, pack = self.vocab, self.suffix, struct.pack
+        suffix, pack = self.suffix, struct.pack
         for spelled, word in sorted([(self.spelled(w), w) for w in words]):
             n = len(spelled) - 1  # the end symbol differs from the same byte inside a word: it is a leaf of its own
             same, top = 0, min(len(path), n)
@@ -154,7 +159,7 @@ class TrieBPE:
                 out.append(tokens[at - 1])
                 at = starts[at - 1]
             out.reverse()
-            self.known[word] = pack(f"<{len(out)}I", *[vocab[t] for t in out])
+            self.known[word] = pack(f"<{len(out)}I", *out)
 
     # -- texts
 

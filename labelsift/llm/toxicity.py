@@ -28,7 +28,7 @@ from .common import documents, prepare
 
 BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
-CACHE = 400_000
+CACHE = 100_000
 CUT = 0.2
 
 

@@ -30,7 +30,7 @@ from .common import documents, prepare
 
 #: Fixed value: the split pattern of the supported files.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-WORDS_KEPT = 400_000
+WORDS_KEPT = 250_000
 JOINS_KEPT = 300_000
 
 

@@ -126,10 +126,14 @@ def blocks(page: str) -> list[tuple[str, bool, bool, list[str]]]:
         if tag in BLOCK or s:
             flush()
             tags.append(tag)
-        if tag in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and tag in (t for t, _ in stack[-3:]):
-            k = max(k for k in range(len(stack)) if stack[k][0] == tag)
-            if tag == "p" or not any(t in ("ul", "ol", "table", "dl") for t, _ in stack[k + 1 :]):
-                close(k)  # the end tag was left out
+        if tag in BLOCK:  # ends a paragraph that was left open
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), -1)
+            if k >= 0 and stack[k][0] == "p":
+                close(k)
+        if tag in ("li", "option", "dt", "dd", "tr", "td", "th"):  # ends one of its kind that was left open
+            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in (tag, "ul", "ol", "table", "dl", "select")), -1)
+            if k >= 0 and stack[k][0] == tag:
+                close(k)
         stack.append((tag, s))
         shut += s
         content += tag in ("article", "main")
@@ -178,8 +182,8 @@ def main_text(page: str | None, weights: Weights) -> str:
             cost = max(cost, -0.25 * weights.word * max(n, 1)) if content else cost
         else:
             gain = n * (weights.other if shut else weights.word)
-            if shut:
-                gain = max(gain, -40.0)  # a long script or advert inside an article doesn't end it
+            if shut:  # a script, an advert or a form inside an article doesn't end it
+                gain, cost = max(gain, -1.0), max(cost, -0.5)
         if run + cost <= 0:
             run, start = 0.0, k
         else:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, l2sq, metric as metric_of
 from .search import top_k
+from .storage import cut
 
 BROADCAST_CENTROIDS = 65_536
 
@@ -38,7 +39,8 @@ def kmeans(vectors: DataFrame, centroids: DataFrame, rounds: int = 10) -> DataFr
     """Lloyd's iterations from given centroids; an empty cluster keeps its centroid."""
     for _ in range(rounds):
         new = lloyd_step(assign_clusters(vectors, centroids)).select("cluster_id", F.col("centroid").alias("_new"))
-        centroids = centroids.join(new, "cluster_id", "left").select("cluster_id", F.coalesce("_new", doubles("centroid")).alias("centroid")).checkpoint() if rounds > 3 else centroids.join(new, "cluster_id", "left").select("cluster_id", F.coalesce("_new", doubles("centroid")).alias("centroid"))
+        centroids = centroids.join(new, "cluster_id", "left").select("cluster_id", F.coalesce("_new", doubles("centroid")).alias("centroid"))
+        centroids = cut(centroids)  # a row for each cluster; plans stay as long as one round
     return centroids
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.predicates import to_column
+from .storage import cut
 
 
 def draw(*columns: str | Column, seed: int = 42) -> Column:
@@ -71,7 +72,7 @@ def selectivity_labels(vectors: DataFrame, levels: int, per_level: int, seed: in
 def resample(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """n rows drawn with replacement, numbered 0 .. n-1."""
     spark = vectors.sparkSession
-    ranked = vectors.rdd.zipWithIndex().map(lambda x: (x[1], *x[0])).toDF(["_i", *vectors.columns])
+    ranked = append_ids(vectors, "vec_id", "_i", spark.range(0).withColumnRenamed("id", "_i"))
     size = vectors.count()
     picks = spark.range(n).select(F.col("id").alias("new_id"), F.floor(draw("id", seed=seed) * size).alias("_i"))
     return picks.join(ranked, "_i").drop("_i")
@@ -112,10 +113,10 @@ def append_ids(rows: DataFrame, order: str, id_col: str, existing: DataFrame) ->
     first = existing.agg(F.coalesce(F.max(id_col), F.lit(-1))).first()[0]
     ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_p", F.spark_partition_id())
     w = Window.partitionBy("_p").orderBy(order)
-    own = ranged.withColumn("_i", F.row_number().over(w))
+    own = cut(ranged.withColumn("_n", F.row_number().over(w)))  # ranges are sampled: they must not be drawn twice
     sizes = {r._p: r.n for r in own.groupBy("_p").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each partition
     before, total = {}, 0
     for p in sorted(sizes):
         before[p], total = total, total + sizes[p]
     start = F.element_at(F.create_map(*(x for p, n in before.items() for x in (F.lit(p), F.lit(n)))), F.col("_p")) if before else F.lit(0)
-    return own.select((F.col("_i") + start + F.lit(first)).cast("long").alias(id_col), *rows.columns)
+    return own.select((F.col("_n") + start + F.lit(first)).cast("long").alias(id_col), *rows.columns)

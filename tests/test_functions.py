@@ -158,3 +158,21 @@ def test_bulk_formulas_agree(spark, sf_dir):
     for f in FORMULAS.values():
         both = w.crossJoin(spark.createDataFrame([(f,)], "formula string"))
         assert both.where(P.evaluate_table(both) != P.to_column(f)).count() == 0
+
+
+def test_resample_and_random_access(spark, sf_dir):
+    v = Tables(spark, sf_dir).v
+    got = R.resample(v, 300)
+    assert got.count() == 300 and got.agg(F.min("new_id"), F.max("new_id")).first() == (0, 299)
+    assert got.join(v, "vec_id", "left_anti").count() == 0 and got.select("vec_id").distinct().count() < 300
+    n = R.random_access(v, 20, 0.3).count() / (v.count() * 20)
+    assert abs(n - 0.3) < 0.03
+    levels = R.selectivity_labels(v, 3, 2).groupBy("label").count().orderBy("label").collect()
+    assert [round(r["count"] / v.count(), 1) for r in levels][-2:] == [1.0, 1.0]
+    assert R.share_degree(Tables(spark, sf_dir).a, 6, 50).agg(F.max("label")).first()[0] < 50
+
+
+def test_numbering_over_partitions(spark):
+    rows = spark.range(5000).select((F.col("id") * 3).alias("k")).repartition(7)
+    got = R.append_ids(rows, "k", "vec_id", spark.range(10).withColumnRenamed("id", "vec_id")).orderBy("vec_id").collect()
+    assert [r.vec_id for r in got] == list(range(10, 5010)) and [r.k for r in got] == list(range(0, 15000, 3))

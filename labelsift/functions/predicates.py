@@ -182,3 +182,8 @@ def fill_templates(templates: list[str], labels: list[int], count: int, seed: in
             seen.add(t.format(*rng.sample(labels, slots)))
         out += sorted(seen)
     return out
+
+
+def template_of(formula: str) -> str:
+    """The formula with its labels as slots."""
+    return " ".join(t if t in ("AND", "OR", "NOT") else "{}" for t in tokenize(formula))

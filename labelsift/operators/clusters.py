@@ -126,6 +126,14 @@ def tree_search(queries: DataFrame, leaves: DataFrame, level1: DataFrame, k: int
     return top_k(met.select("query_id", "vec_id", f("_q", "embedding").alias("distance")), k, metric).select("query_id", "rank", "vec_id", "distance")
 
 
+def beam(queries: DataFrame, level1: DataFrame, level2: DataFrame, width: int, leaves: int) -> DataFrame:
+    """(query_id, n1, n2): the ``width`` nearest nodes of the first level, then the ``leaves`` nearest of their children."""
+    top = queries.crossJoin(_side(level1)).withColumn("s", l2sq("embedding", "centroid"))
+    kept = top.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("s", "n1"))).where(F.col("r") <= width)
+    low = kept.select("query_id", "embedding", "n1").join(_side(level2), "n1").withColumn("s", l2sq("embedding", "centroid"))
+    return low.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("s", "n2"))).where(F.col("r") <= leaves).select("query_id", "n1", "n2")
+
+
 def tree_info(leaves: DataFrame, levels: tuple[str, ...] = ("n1", "n2")) -> DataFrame:
     sizes = leaves.groupBy(*levels).agg(F.count(F.lit(1)).alias("n"))
     return sizes.agg(F.count(F.lit(1)).alias("leaves"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("std"), F.min("n").alias("least"), F.max("n").alias("most"))

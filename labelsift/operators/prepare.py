@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,6 +80,27 @@ def resample(vectors: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return picks.join(ranked, "_i").drop("_i")
 
 
+def random_test_labels(access: DataFrame, labels: DataFrame, seed: int = 42) -> DataFrame:
+    """As many random distinct labels for each vector as it has; labels(label) is the vocabulary, numbered and broadcast.
+
+    The j-th label of a vector is at place (start + j * step) mod n of the vocabulary, with a start drawn by its id and a
+    step that has no factor in common with n, so a vector's labels differ as long as it has at most n.
+    """
+    numbered = labels.distinct().withColumn("_i", F.row_number().over(Window.orderBy("label")) - 1)  # one row a label
+    n = max(1, labels.distinct().count())
+    steps = [s for s in range(1, n + 1) if math.gcd(s, n) == 1]
+    counts = access.groupBy("vec_id").agg(F.count_distinct("label").alias("_c"))
+    step = F.get(F.array(*map(F.lit, steps)), F.floor(draw("vec_id", seed=seed + 1) * len(steps)).cast("int"))
+    start = F.floor(draw("vec_id", seed=seed) * n)
+    places = counts.select("vec_id", F.explode(F.sequence(F.lit(0), F.least("_c", F.lit(n)).cast("int") - 1)).alias("_j"))
+    return places.select("vec_id", F.pmod(start + F.col("_j") * step, F.lit(n)).cast("int").alias("_i")).join(F.broadcast(numbered), "_i").select("vec_id", "label")
+
+
+def label_sample(access: DataFrame, n: int, seed: int = 42) -> DataFrame:
+    """At most n labels, those of the smallest hashes."""
+    return access.select("label").distinct().orderBy(draw("label", seed=seed), "label").limit(n)
+
+
 def label_split(access: DataFrame, labels: list[int], remap: bool = True) -> DataFrame:
     """Pairs of a label subset, with dense labels if asked."""
     kept = sorted(set(labels))

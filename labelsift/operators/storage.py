@@ -7,9 +7,15 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as checkpointed in spark.checkpoint.dir, or in a temporary folder where that is unset."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark) -> str:
+    """spark.checkpoint.dir, or a temporary folder where that is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labelsift-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="labelsift-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as checkpointed in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()

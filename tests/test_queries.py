@@ -3,6 +3,7 @@
 import pytest
 from oracle import differences
 
+import labelsift.plans.more  # noqa: F401
 from labelsift.plans.queries import ORACLE, QUERIES
 
 

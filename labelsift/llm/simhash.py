@@ -270,7 +270,7 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (42, 43)) -> DataFrame:
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (42, 43, 44, 45, 46)) -> DataFrame:
     """``docs`` with one row (the smallest id) of each group of near copies.
 
     Candidates come from SimHashes of the set of words, one per seed, within ``max_bits``; a candidate pair counts when

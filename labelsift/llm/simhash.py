@@ -19,12 +19,14 @@ if there is none); an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, parallelism, prepare
@@ -33,6 +35,10 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the [23,12,7] Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 SMALL_BUCKET = 16
+#: For the verified stage: distinct words a worker remembers; documents looked at, and shingles kept, to order prefixes.
+WORD_CACHE, SAMPLE, COMMON = 1 << 16, 20_000, 200_000
+#: Pivots of a large bucket by round; blocks it is dealt into; the last round begins when so many pairs a row are left.
+PIVOTS, BLOCKS, ENOUGH = (4, 16, 64), 8, 16
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -270,44 +276,202 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, max_bits: int = 4, seeds: tuple[int, ...] = (42, 43, 44, 45, 46)) -> DataFrame:
-    """``docs`` with one row (the smallest id) of each group of near copies.
+def shingle_hashes(words: list[bytes], width: int, cache: dict[bytes, int]) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of ``shingle_set``, from hashes of the words."""
+    if not words:
+        return np.empty(0, np.uint64)
+    if len(cache) > WORD_CACHE:
+        cache.clear()
+    for w in set(words).difference(cache):
+        cache[w] = xxhash.xxh64_intdigest(w, 42)
+    v = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    k = min(width, len(words))
+    h = np.zeros(len(words) - k + 1, np.uint64)
+    for i in range(k):
+        h += v[i : i + len(h)] * np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64))
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(h ^ h >> np.uint64(29))
+
+
+def _shingled(batches, width: int):
+    """(id, sorted distinct shingle hashes, hash of these) of each row of (id, text) batches."""
+    cache: dict[bytes, int] = {}
+    for b in batches:
+        ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
+        found = []
+        for i, t in zip(ids, texts, strict=True):
+            h = shingle_hashes((t or b"").lower().split(), width, cache)
+            found.append((i, h, xxhash.xxh64_intdigest(h.tobytes(), 7)))
+        yield found
+
+
+def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles common in a sample of the documents, sorted, and their counts. They order the prefixes; results don't depend on them."""
+    step = max(1, docs.count() // SAMPLE)
+
+    def run(batches):
+        for found in _shingled(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *(h for _, h, _ in found)]).view(np.int64))], ["h"])
+
+    counts = docs.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0).mapInArrow(run, "h long").groupBy("h").count().where("count >= 5")
+    got = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
+    h, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(h)
+    return h[order], n[order]
 
-    Candidates come from SimHashes of the set of words, one per seed, within ``max_bits``; a candidate pair counts when
-    the Jaccard similarity of its ``width``-word shingles is at least ``similarity``; groups are the components of such
-    pairs. Ids are taken as unique; rows with a null id and rows without a near copy stay as they are.
+
+def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(key, node, n, pos): the rarest shingles of each text, of which two texts at ``similarity`` share one at least.
+
+    Sets x and y of that similarity share ``similarity * max(|x|, |y|)`` shingles or more, so in any common order the
+    first ``n - ceil(similarity * n) + 1`` of each meet (prefix filter). ``pos`` is the place in the order.
     """
-    prepare(docs.sparkSession)
-    keyed = docs.where(F.col(id_col).isNotNull())
-    prints = materialize(fingerprints(keyed, id_col, text_col, 1, seeds, True), "prints")
-    pairs = None
-    for i in range(len(seeds)):
-        col = f"fp{i}"
-        nodes = prints.groupBy(F.col(col).alias("fp")).agg(F.min("doc_id").alias("first"))
-        nodes = materialize(nodes, "nodes")
-        ends = links(nodes, max_bits).join(nodes.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(nodes.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b")
-        same = prints.join(nodes, prints[col] == nodes["fp"]).where("doc_id <> first").select(F.col("first").alias("x"), F.col("doc_id").alias("y"))
-        found = ends.select("x", "y").unionByName(same)
-        pairs = found if pairs is None else pairs.unionByName(found)
-    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "pairs")
-    texts = keyed.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
-
-    def verify(batches):
+    known, count = _common(docs, width)
+
+    def run(batches):
+        for found in _shingled(batches, width):
+            parts = [[np.empty(0, np.int64)] for _ in range(4)]
+            for _, h, node in found:
+                n = len(h)
+                take = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+                if n and len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    h = h[np.lexsort((h, np.where(known[at] == h, count[at], 0)))]
+                for part, x in zip(parts, (h[:take].view(np.int64), np.full(take, node, np.uint64).view(np.int64), np.full(take, n), np.arange(take)), strict=True):
+                    part.append(x)
+            key, node, n, pos = (np.concatenate(p) for p in parts)
+            for k in range(0, len(key), 1 << 16):
+                cut = slice(k, k + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(node[cut]), pa.array(n[cut].astype(np.int32)), pa.array(pos[cut].astype(np.int32))], ["key", "node", "n", "pos"])
+
+    return docs.mapInArrow(run, "key long, node long, n int, pos int")
+
+
+def bucket_pairs(batches, similarity: float):
+    """Of rows (key, node, n, pos) sorted by key and node: (null, a, b, ...) for each pair of a small bucket that may reach
+    ``similarity``, and the rows (key, node, null, n, pos) of large ones. Memory is bounded by a batch."""
+    share = similarity / (1 + similarity)
+    rest, going = [np.empty(0, np.int64)] * 4, None
+    names = ["key", "a", "b", "n", "pos"]
+    for b in chain(batches, [None]):
+        cols = rest if b is None else [np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, b.columns, strict=True)]
+        if not len(cols[0]):
+            continue
+        once = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+        cols = [c[once] for c in cols]
+        key = cols[0]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        size = np.diff(np.r_[cut, len(key)])
+        large = size > SMALL_BUCKET
+        if going is not None and key[0] == going:
+            large[0] = True
+        done = len(key) if b is None or large[-1] else int(cut[-1])  # a small last bucket may go on
+        going = key[-1] if large[-1] else None
+        wide = np.repeat(large, size)
+        rest = [c[done:] for c in cols]
+        key, node, n, pos = (c[:done][wide[:done]] for c in cols)
+        if len(key):
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.nulls(len(key), pa.int64()), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], names)
+        key, node, n, pos = (c[:done][~wide[:done]] for c in cols)
+        out = []
+        for k in range(1, SMALL_BUCKET):
+            i = np.flatnonzero(key[:-k] == key[k:]) if k < len(key) else np.empty(0, np.int64)
+            if not len(i):
+                break
+            i = i[np.minimum(n[i] - pos[i], n[i + k] - pos[i + k]) >= share * (n[i] + n[i + k]) - 1e-6]
+            out.append(np.stack([node[i], node[i + k]]))  # ascending, as rows are sorted by node
+        if out:
+            pair = np.unique(np.concatenate(out, 1), axis=1)
+            none = pa.nulls(pair.shape[1], pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1]), none, none], names)
+
+
+def _meet(some: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (a, b) of ``some`` and ``rows`` of one bucket and unlike roots that may reach ``similarity``; buckets meet in salted blocks."""
+    left = some.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("root").alias("pr"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
+    right = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)).cast("int"))
+    fits = F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("pn")) - 1e-6
+    return left.join(right, ["key", "block"]).where((F.col("root") != F.col("pr")) & fits).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose texts, by ``texts`` (node, text), have shingles of Jaccard similarity ``similarity`` or more."""
+
+    def run(batches):
         for b in batches:
             cols = [b.column(k).to_pylist() for k in range(4)]
             last, own, keep = None, set(), []
             for x, y, s, t in zip(*cols, strict=True):
-                if x != last:
-                    last, own = x, shingle_set(s, width)
-                if jaccard(own, shingle_set(t, width)) >= similarity:
+                if y != last:
+                    last, own = y, shingle_set(t, width)
+                if jaccard(own, shingle_set(s, width)) >= similarity:
                     keep.append((x, y))
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in range(2)], ["a", "b"])
 
-    left = pairs.join(texts.withColumnRenamed("_text", "s"), F.col("x") == F.col("_id")).drop("_id")
-    right = left.join(texts.withColumnRenamed("_text", "t"), F.col("y") == F.col("_id")).select("x", "y", "s", "t")
-    roots = components(right.mapInArrow(verify, "a long, b long"))
-    drop = roots.where("node <> root").select("node")
-    return docs.join(drop, docs[id_col].cast("long") == drop["node"], "left_anti")
+    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
+    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
+    return materialize(both.mapInArrow(run, "a long, b long"), "verified")
+
+
+def _settle(edges: DataFrame, big: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(node, root) of all components: ``edges``, and every pair of a bucket of ``big`` whose ends are not in one component yet.
+
+    A few pivots of each bucket, those with most links first, meet the whole bucket; what they join needs no more
+    comparison. When little is left, or the pivots no longer help, each row outside its bucket's largest component meets all
+    rows of other components, so no pair goes unseen.
+    """
+    for pivots in (*PIVOTS, 0):
+        roots = materialize(components(edges), "roots")
+        rows = big.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
+        rows = materialize(rows.join(mixed, "key"), "open")
+        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
+        left, size = parts.agg(F.sum(F.expr("(size - most) * size")), F.sum("size")).first()
+        if not size:
+            return roots
+        last = not pivots or left <= ENOUGH * size
+        if last:
+            some = rows.join(parts.select("key", "main"), "key").where("root <> main")
+        else:
+            degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+            order = Window.partitionBy("key").orderBy(F.coalesce("links", F.lit(0)).desc(), F.xxhash64("node"), "node")
+            some = rows.join(degree, "node", "left").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots)
+        edges = edges.unionByName(verified(_meet(some, rows, similarity), texts, width, similarity))
+        if last:
+            return components(edges)
+    raise AssertionError("the last round returns")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``docs`` with one row (the smallest id) of each group of near copies.
+
+    Near copies are all pairs whose ``width``-word shingles have a Jaccard similarity of at least ``similarity``; groups
+    are the components of such pairs. Candidates come from an exact prefix filter and are verified on the words. Equal sets
+    of shingles are one node, known by a 64-bit hash. Ids are taken as unique; rows with a null id and rows without a near
+    copy stay as they are.
+    """
+    prepare(docs.sparkSession)
+    n = parallelism(docs.sparkSession)
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+
+    def name(batches):
+        for found in _shingled(batches, width):
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in found], pa.int64()), pa.array(np.array([x for _, _, x in found], np.uint64).view(np.int64))], ["doc_id", "node"])
+
+    prints = materialize(texts.mapInArrow(name, "doc_id long, node long"), "prints")
+    keyed = prefixes(texts, width, similarity).repartition(n, "key").sortWithinPartitions("key", "node")
+    found = materialize(keyed.mapInArrow(lambda b: bucket_pairs(b, similarity), "key long, a long, b long, n int, pos int"), "buckets")
+    pairs = found.where("key is null").select("a", "b").distinct()
+    big = found.where("key is not null").select("key", F.col("a").alias("node"), "n", "pos").distinct()
+    active = found.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
+    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
+    met = materialize(texts.join(first.join(active, "node"), F.col("_id") == F.col("first")).select("node", F.col("_text").alias("text")), "texts")
+    roots = _settle(verified(pairs, met, width, similarity), big, met, width, similarity)
+    kept = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    kept = kept.join(kept.groupBy("root").agg(F.min("first").alias("kept")), "root").select("node", "kept")
+    drop = prints.join(kept, "node").where("doc_id <> kept").select(F.col("doc_id").alias("_drop"))
+    return docs.join(drop, docs[id_col].cast("long") == drop["_drop"], "left_anti")
 
 
 def op1_simhash_near_dedup(spark, sf_dir):

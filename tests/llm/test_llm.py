@@ -166,6 +166,28 @@ def test_verified_stage_keeps_one_of_each_group(spark):
     assert set(range(30)) <= ids and len(ids) <= 31
 
 
+def near_copy_classes(spark, texts):
+    """What the verified stage keeps of ``texts``, and what brute force over all pairs keeps."""
+    left = simhash.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    sets = [simhash.shingle_set(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.jaccard(sets[i], sets[j]) >= 0.8]
+    return {r.doc_id for r in left.collect()}, set(classes(pairs, range(len(sets))).values())
+
+
+def test_verified_stage_joins_large_groups_by_way_of_a_third_text(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for edits, copies in ((5, 200), (9, 60)):
+        base = rng.choice([f"w{k}" for k in range(4000)], 300)
+        for k in range(copies):
+            copy = base.copy()
+            copy[rng.choice(300, edits, replace=False)] = [f"x{edits}_{k}_{e}" for e in range(edits)]
+            texts.append(" ".join(copy))
+        texts.append(" ".join(base))  # last, so that no smallest id is the middle of its group
+    got, want = near_copy_classes(spark, texts)
+    assert got == want
+
+
 # ---- language model
 
 

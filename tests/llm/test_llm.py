@@ -188,6 +188,19 @@ def test_verified_stage_joins_large_groups_by_way_of_a_third_text(spark):
     assert got == want
 
 
+def test_verified_stage_finds_appended_cut_and_short_copies(spark):
+    rng = np.random.default_rng(12)
+    words = [f"w{k}" for k in range(4000)]
+    texts = ["a b c d", "a b c d e", "", "A  b c d"]
+    for n in (8, 12, 20, 50, 100, 400):
+        for _ in range(10):
+            base = list(rng.choice(words, n))
+            more = list(rng.choice(words, max(1, n // 5)))
+            texts += [" ".join(t) for t in (base, base + more, more[: n // 6] + base, base[: n - n // 6], base[: n // 2] + ["changed"] + base[n // 2 :])]
+    got, want = near_copy_classes(spark, texts)
+    assert len(want) < len(texts) / 2 and got == want
+
+
 # ---- language model
 
 

@@ -8,10 +8,17 @@ order, so that halves of two segments agree while the third has at most two. Eac
 (whole segment, fuzzy segment) and (half, half, fuzzy segment); an equi-join on the key finds every pair within four
 bits, and each is verified by counting differing bits.
 
-Fingerprints are made distinct first, so exact copies never meet each other. Inside one bucket of a key a large group
-is walked from pivots to what they reach (a spanning forest), never expanded into all pairs. Components come from
+Fingerprints are made distinct first, so exact copies never meet each other. Groups (rows of one key) are settled
+exactly without expanding them into pairs: a block of a group is walked in one task from pivots to what they reach, and
+links come out only where they join something new. A group beyond ``BLOCK_ROWS`` rows or ``BLOCK_WEIGHT`` of payload is
+dealt into blocks; what the walks leave in different components then visits the other blocks. Components come from
 large-star and small-star rounds over the links, as DataFrames written to the shared folder.
 
+The verified stage (``drop_near_copies``) fingerprints each text five times: its distinct words, and the words around
+four anchors, the shingles of least hash under four hash functions (the shingle alone, or 16 words). Edits anywhere
+leave most anchors and their surroundings alone, so appended, cut and edited copies meet as well. Texts whose fingerprints are in one component of
+Hamming links are compared by the exact Jaccard similarity of their shingle hashes.
+
 Defined results: null text is the empty text, whose fingerprint is zero and links like any other; texts of fewer words
 than a shingle are hashed whole; repeated rows keep a row each; a null id gets its group's smallest non-null id (null
 if there is none); an empty table gives an empty result; other columns are ignored.
@@ -19,9 +26,8 @@ if there is none); an empty table gives an empty result; other columns are ignor
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, parallelism, prepare
+from .common import documents, materialize, parallelism, prepare, release
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the [23,12,7] Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
 GOLAY = 0b101011100011
 SMALL_BUCKET = 16
-#: For the verified stage: distinct words a worker remembers; documents looked at, and shingles kept, to order prefixes.
-WORD_CACHE, SAMPLE, COMMON = 1 << 16, 20_000, 200_000
-#: Pivots of a large bucket by round; blocks it is dealt into; the last round begins when so many pairs a row are left.
-PIVOTS, BLOCKS, ENOUGH = (4, 16, 64), 8, 16
+#: A task walks at most so many rows of a group, holding at most so many words of payload (one very long text aside).
+BLOCK_ROWS, BLOCK_WEIGHT = 2048, 1 << 19
+#: Blocks of a large group whose representatives visit all blocks before the rest does.
+REPRESENTATIVES = 16
+#: For the verified stage: words taken with each anchor of a text (at least its shingle), distinct words a worker remembers.
+ANCHORS, WORD_CACHE = (0, 0, 16, 16), 1 << 16
+#: At most so many ids are broadcast.
+BROADCAST_IDS = 1 << 20
 
 
 # ---------------------------------------------------------------- Golay keys
@@ -107,8 +117,8 @@ def fuzzy_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # ------------------------------------------------------------- fingerprints
 
 
-def _votes(hashes: list[int]) -> np.ndarray:
-    bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+def _votes(hashes: list[int] | np.ndarray) -> np.ndarray:
+    bits = np.unpackbits(np.asarray(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     return bits.sum(0, dtype=np.int64)
 
 
@@ -152,51 +162,181 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
 
 
-# -------------------------------------------------------------------- links
+# ---------------------------------------------------------- groups settled
+
+
+class Prints:
+    """The fingerprints of a block; ``near`` marks those within ``bits`` of one."""
+
+    def __init__(self, payloads: list[int], bits: int):
+        self.items = np.array(payloads, np.int64).view(np.uint64)
+        self.bits = bits
+
+    def near(self, item) -> np.ndarray:
+        return np.bitwise_count(self.items ^ item) <= self.bits
 
 
-def _forest(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
-    """Links that connect what is connected within ``bits``: pivots against what no pivot has reached yet."""
-    links, left = [], fps
-    while len(left) > 1:
-        todo, left = [left[0]], left[1:]
-        while todo and len(left):
+class ShingleSets:
+    """The sets of a block as sorted hashes, with an index from hash to sets; ``near`` marks the sets of at least the similarity."""
+
+    def __init__(self, payloads: list[bytes], similarity: float):
+        self.items = [np.frombuffer(p, np.uint64) for p in payloads]
+        self.similarity = similarity
+        self.n = np.array([len(x) for x in self.items], np.int64)
+        self.hashes, which = np.unique(np.concatenate([np.empty(0, np.uint64), *self.items]), return_inverse=True)
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)[np.argsort(which, kind="stable")]
+        self.starts = np.r_[0, np.cumsum(np.bincount(which, minlength=len(self.hashes)))]
+
+    def near(self, item: np.ndarray) -> np.ndarray:
+        if not len(self.hashes) or not len(item):
+            return self.n == len(item)
+        at = np.minimum(np.searchsorted(self.hashes, item), len(self.hashes) - 1)
+        at = at[self.hashes[at] == item]
+        first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        before = np.cumsum(size) - size
+        same = np.bincount(self.owner[np.repeat(first - before, size) + np.arange(size.sum())], minlength=len(self.n))
+        return same >= self.similarity * (self.n + len(item) - same) - 1e-9
+
+
+def _walk(nodes: np.ndarray, block: Prints | ShingleSets) -> Iterator[tuple[int, int]]:
+    """Links that connect all that pairs of the block connect: from pivots to what nothing has reached yet."""
+    left = np.ones(len(nodes), bool)
+    for pivot in range(len(nodes)):
+        todo = [pivot] if left[pivot] else []
+        left[pivot] = False
+        while todo:
             p = todo.pop()
-            near = np.bitwise_count(left ^ p) <= bits
-            if near.any():
-                got = left[near]
-                links += [(int(p), int(x)) for x in got]
-                todo += list(got)
-                left = left[~near]
-    return links
+            got = np.flatnonzero(left & block.near(block.items[p])) if left.any() else ()
+            for x in got:
+                yield int(nodes[p]), int(nodes[x])
+            left[got] = False
+            todo += list(got)
+
+
+def _visit(nodes: np.ndarray, roots: np.ndarray, block: Prints | ShingleSets, visitors: list, make: Callable) -> Iterator[tuple[int, int]]:
+    """Links of ``visitors`` (node, root, payload) to the block's rows, where they join roots that aren't joined yet."""
+    joined: dict[int, int] = {}
+
+    def find(r: int) -> int:
+        while r in joined:
+            r = joined[r]
+        return r
+
+    for (node, root, _), item in zip(visitors, make([v[2] for v in visitors]).items, strict=True):
+        for x in np.flatnonzero((roots != root) & block.near(item)):
+            a, b = find(root), find(int(roots[x]))
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                yield node, int(nodes[x])
+
+
+def _by_block(rows: DataFrame, make: Callable) -> DataFrame:
+    """Links (a, b) from rows (grp, block, visitor, node, root, payload): each block walked, or visited if it has visitors."""
+    n = parallelism(rows.sparkSession)
+    columns = ["grp", "block", "visitor", "node", "root", "payload"]
+
+    def settled(held: list) -> list[tuple[int, int]]:
+        own = [r for r in held if not r[2]]
+        guests = [(r[3], r[4], r[5]) for r in held if r[2]]
+        if not own or len(held) < 2:
+            return []
+        nodes, block = np.array([r[3] for r in own], np.int64), make([r[5] for r in own])
+        return list(_visit(nodes, np.array([r[4] for r in own], np.int64), block, guests, make) if guests else _walk(nodes, block))
+
+    def run(batches):
+        held: list = []
+        out: list[tuple[int, int]] = []
+        for b in batches:
+            for r in zip(*(b.column(k).to_pylist() for k in range(len(columns))), strict=True):
+                if held and held[0][:2] != r[:2]:
+                    out += settled(held)
+                    held = []
+                elif len(held) >= 2 * BLOCK_ROWS and r[2]:  # more visitors than a block has rows: they come in parts
+                    out += settled(held)
+                    held = [x for x in held if not x[2]]
+                held.append(r)
+            if len(out) > 1 << 16:
+                yield _pairs(out)
+                out = []
+        yield _pairs(out + settled(held))
+
+    dealt = rows.select(columns).repartition(n, "grp", "block").sortWithinPartitions("grp", "block", "visitor", "node")
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both.min(1)), pa.array(both.max(1))], ["a", "b"])
+
+
+def settle(rows: DataFrame, make: Callable, weight: str | None = None) -> DataFrame:
+    """Links (a, b) that connect, in each group of ``rows`` (grp, node, payload), all that its pairs connect.
+
+    ``make`` builds a block from a list of payloads. Every pair of a group is either compared or already connected by
+    links. Groups of one block take one round. Of larger ones, representatives of the largest components of some blocks
+    visit all blocks, then all rows outside the group's largest component do.
+    """
+    total = F.sum(weight) if weight else F.lit(0)
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(total / BLOCK_WEIGHT)).cast("int")
+    large = materialize(rows.groupBy("grp").agg(blocks.alias("blocks")).where("blocks > 1"), "large")
+    some = large.count()
+    side = F.broadcast(large) if some <= BROADCAST_IDS else large  # at most rows / BLOCK_ROWS and weight / BLOCK_WEIGHT groups
+    dealt = rows.join(side, "grp", "left").select(
+        "grp", F.coalesce(F.pmod(F.xxhash64("node"), F.col("blocks")), F.lit(0)).cast("int").alias("block"), F.lit(False).alias("visitor"), "node", F.col("node").alias("root"), "payload", "blocks"
+    )
+    found = materialize(_by_block(dealt, make).distinct(), "links")
+    if not some:
+        return found
+    members = materialize(dealt.where("blocks > 1").drop("root", "visitor"), "members")
+    for first in (True, False):
+        roots = components(found)
+        rooted = members.join(roots, "node", "left").select("grp", "block", "blocks", "node", F.coalesce("root", "node").alias("root"), "payload")
+        in_block = rooted.groupBy("grp", "block", "root").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"))
+        main = in_block.groupBy("grp", "root").agg(F.sum("c").alias("c")).groupBy("grp").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+        main = materialize(main.select("grp", "main"), "main")
+        side = F.broadcast(main) if main.count() <= BROADCAST_IDS else main
+        open_rows = rooted.join(side, "grp")
+        if first:  # the largest component of each of the first blocks sends one row
+            speak = in_block.where(F.col("block") < REPRESENTATIVES).groupBy("grp", "block").agg(F.max_by("node", F.struct("c", "root")).alias("node"))
+            guests = open_rows.join(F.broadcast(speak) if some <= BROADCAST_IDS // REPRESENTATIVES else speak, ["grp", "block", "node"], "left_semi")
+        else:
+            guests = open_rows.where("root <> main")
+        guests = guests.select("grp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("visitor"), "node", "root", "payload")
+        both = open_rows.select("grp", "block", F.lit(False).alias("visitor"), "node", "root", "payload").unionByName(guests)
+        found = materialize(found.unionByName(_by_block(both, make)).distinct(), "links")
+    return found
+
 
+# -------------------------------------------------------------------- links
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
-    """Verified links (a < b) among rows of equal key; rows are sorted by key. All pairs of small buckets, a forest of others."""
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (a < b) among rows of equal key, sorted by key, and the rows (key, fp) of buckets beyond ``BLOCK_ROWS``.
+
+    All pairs of small buckets are looked at, others are walked.
+    """
     n = len(keys)
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[cut, n])
-    small = np.repeat(size <= SMALL_BUCKET, size)
-    out = []
+    small, wide = np.repeat(size <= SMALL_BUCKET, size), np.repeat(size > BLOCK_ROWS, size)
+    out = [np.empty((0, 2), np.uint64)]
     for k in range(1, SMALL_BUCKET):
         i = np.flatnonzero(small[:-k] & (keys[:-k] == keys[k:])) if k < n else np.empty(0, np.int64)
         if not len(i):
             break
         i = i[np.bitwise_count(fps[i] ^ fps[i + k]) <= bits]
         out.append(np.stack([fps[i], fps[i + k]], 1))
-    for c in np.flatnonzero(size > SMALL_BUCKET):
-        got = _forest(fps[cut[c] : cut[c] + size[c]], bits)
-        if got:
-            out.append(np.array(got, np.uint64))
-    if not out:
-        return np.empty((0, 2), np.int64)
+    for c in np.flatnonzero((size > SMALL_BUCKET) & (size <= BLOCK_ROWS)):
+        own = fps[cut[c] : cut[c] + size[c]].view(np.int64)
+        out.append(np.array([*_walk(own, Prints(own, bits))], np.int64).reshape(-1, 2).view(np.uint64))
     both = np.concatenate(out).view(np.int64)
     both.sort(axis=1)
-    return np.unique(both[both[:, 0] != both[:, 1]], axis=0)
+    return np.unique(both[both[:, 0] != both[:, 1]], axis=0), np.stack([keys[wide], fps[wide].view(np.int64)], 1)
 
 
 def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Distinct links (a, b) with a < b between the distinct fingerprints ``nodes.fp`` at most ``max_bits`` (<= 4) apart."""
+    """Links (a, b) with a < b between the distinct fingerprints ``nodes.fp``: of pairs at most ``max_bits`` (<= 4) apart,
+    as many as connect all of them."""
     if not 0 <= max_bits <= 4:
         raise ValueError("the keys cover up to four differing bits")
 
@@ -209,25 +349,39 @@ def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[at])], ["key", "fp"])
 
     def join(batches):
-        keys, fps = np.empty(0, np.int64), np.empty(0, np.int64)
+        """(null, a, b) for links, (key, fp, null) for rows of large buckets; memory is bounded by a batch."""
+        keys, fps, going = np.empty(0, np.int64), np.empty(0, np.int64), None
 
-        def found(k, f):
-            e = bucket_links(k, f.view(np.uint64), max_bits)
-            return pa.RecordBatch.from_arrays([pa.array(e[:, 0]), pa.array(e[:, 1])], ["a", "b"])
+        def out(e, rows):
+            key = pa.array(np.r_[np.zeros(len(e), np.int64), rows[:, 0]], mask=np.r_[np.ones(len(e), bool), np.zeros(len(rows), bool)])
+            b = pa.array(np.r_[e[:, 1], np.zeros(len(rows), np.int64)], mask=np.r_[np.zeros(len(e), bool), np.ones(len(rows), bool)])
+            return pa.RecordBatch.from_arrays([key, pa.array(np.r_[e[:, 0], rows[:, 1]]), b], ["key", "a", "b"])
 
         for b in batches:
             keys = np.concatenate([keys, b.column(0).to_numpy(zero_copy_only=False)])
             fps = np.concatenate([fps, b.column(1).to_numpy(zero_copy_only=False)])
-            open_at = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0  # the last bucket may go on
-            if open_at >= 1 << 18:
-                yield found(keys[:open_at], fps[:open_at])
-                keys, fps = keys[open_at:], fps[open_at:]
+            if going is not None and len(keys):  # a large bucket that began before
+                end = int(np.searchsorted(keys, going, "right"))
+                yield out(np.empty((0, 2), np.int64), np.stack([keys[:end], fps[:end]], 1))
+                going = going if end == len(keys) else None
+                keys, fps = keys[end:], fps[end:]
+            if len(keys) >= 1 << 18:
+                end = int(np.searchsorted(keys, keys[-1]))
+                if len(keys) - end > BLOCK_ROWS:  # the last bucket is large already
+                    going, end = keys[-1], len(keys)
+                yield out(*bucket_links(keys[:end], fps[:end].view(np.uint64), max_bits))
+                keys, fps = keys[end:], fps[end:]
         if len(keys):
-            yield found(keys, fps)
+            yield out(*bucket_links(keys, fps.view(np.uint64), max_bits))
 
     n = parallelism(nodes.sparkSession)
     keyed = nodes.select("fp").mapInArrow(emit, "key long, fp long")
-    return keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(join, "a long, b long").distinct()
+    found = materialize(keyed.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(join, "key long, a long, b long"), "buckets")
+    some = found.where("key is null").select("a", "b").distinct()
+    rest = found.where("key is not null").select(F.col("key").alias("grp"), F.col("a").alias("node"), F.col("a").alias("payload"))
+    if not rest.isEmpty():
+        some = some.unionByName(settle(rest, lambda x: Prints(x, max_bits))).distinct()
+    return some
 
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -243,7 +397,8 @@ def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        last, edges = edges, materialize(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(last)
         after = mark(edges)
         if after == before:
             break
@@ -276,201 +431,121 @@ def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-def shingle_hashes(words: list[bytes], width: int, cache: dict[bytes, int]) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the shingles of ``shingle_set``, from hashes of the words."""
-    if not words:
-        return np.empty(0, np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ h >> np.uint64(31)
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
     if len(cache) > WORD_CACHE:
         cache.clear()
     for w in set(words).difference(cache):
         cache[w] = xxhash.xxh64_intdigest(w, 42)
-    v = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-    k = min(width, len(words))
-    h = np.zeros(len(words) - k + 1, np.uint64)
-    for i in range(k):
-        h += v[i : i + len(h)] * np.uint64(pow(0x9E3779B97F4A7C15, i + 1, 1 << 64))
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(h ^ h >> np.uint64(29))
+    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
 
 
-def _shingled(batches, width: int):
-    """(id, sorted distinct shingle hashes, hash of these) of each row of (id, text) batches."""
-    cache: dict[bytes, int] = {}
-    for b in batches:
-        ids, texts = b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist()
-        found = []
-        for i, t in zip(ids, texts, strict=True):
-            h = shingle_hashes((t or b"").lower().split(), width, cache)
-            found.append((i, h, xxhash.xxh64_intdigest(h.tobytes(), 7)))
-        yield found
-
-
-def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles common in a sample of the documents, sorted, and their counts. They order the prefixes; results don't depend on them."""
-    step = max(1, docs.count() // SAMPLE)
-
-    def run(batches):
-        for found in _shingled(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *(h for _, h, _ in found)]).view(np.int64))], ["h"])
+def shingle_hashes(v: np.ndarray, width: int) -> np.ndarray:
+    """64-bit hashes of the shingles of ``shingle_set``, in order of place, from hashes of the words."""
+    k = min(width, len(v))
+    h = np.zeros(len(v) - k + 1 if len(v) else 0, np.uint64)
+    for i in range(k):
+        h += v[i : i + len(h)] * np.uint64(pow(int(_ODD), i + 1, 1 << 64))
+    return _mixed(h)
 
-    counts = docs.where(F.pmod(F.xxhash64("_id"), F.lit(step)) == 0).mapInArrow(run, "h long").groupBy("h").count().where("count >= 5")
-    got = counts.orderBy(F.desc("count"), "h").limit(COMMON).toArrow()
-    h, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
-    order = np.argsort(h)
-    return h[order], n[order]
 
+def word_print(v: np.ndarray) -> int:
+    """SimHash of the distinct words, as a signed long."""
+    u = np.unique(v)
+    votes = sum(_votes(u[k : k + (1 << 16)]) for k in range(0, len(u), 1 << 16))
+    return int(np.packbits(votes * 2 > len(u), bitorder="little").view(np.int64)[0]) if len(u) else 0
 
-def prefixes(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(key, node, n, pos): the rarest shingles of each text, of which two texts at ``similarity`` share one at least.
 
-    Sets x and y of that similarity share ``similarity * max(|x|, |y|)`` shingles or more, so in any common order the
-    first ``n - ceil(similarity * n) + 1`` of each meet (prefix filter). ``pos`` is the place in the order.
-    """
-    known, count = _common(docs, width)
+def anchored_prints(v: np.ndarray, shingles: np.ndarray) -> list[int]:
+    """SimHashes of a text's distinct words and of the words around each anchor."""
+    if not len(v):
+        return [0] * (len(ANCHORS) + 1)
+    out, width = [word_print(v)], len(v) - len(shingles) + 1
+    for k, words in enumerate(ANCHORS):
+        at = int(_mixed(shingles * _ODD + np.uint64(7919 * k + 1)).argmin())
+        more = max(0, words - width)
+        out.append(word_print(v[max(0, at - more // 2) : at + width + more - more // 2]))
+    return out
 
-    def run(batches):
-        for found in _shingled(batches, width):
-            parts = [[np.empty(0, np.int64)] for _ in range(4)]
-            for _, h, node in found:
-                n = len(h)
-                take = n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
-                if n and len(known):
-                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                    h = h[np.lexsort((h, np.where(known[at] == h, count[at], 0)))]
-                for part, x in zip(parts, (h[:take].view(np.int64), np.full(take, node, np.uint64).view(np.int64), np.full(take, n), np.arange(take)), strict=True):
-                    part.append(x)
-            key, node, n, pos = (np.concatenate(p) for p in parts)
-            for k in range(0, len(key), 1 << 16):
-                cut = slice(k, k + (1 << 16))
-                yield pa.RecordBatch.from_arrays([pa.array(key[cut]), pa.array(node[cut]), pa.array(n[cut].astype(np.int32)), pa.array(pos[cut].astype(np.int32))], ["key", "node", "n", "pos"])
-
-    return docs.mapInArrow(run, "key long, node long, n int, pos int")
-
-
-def bucket_pairs(batches, similarity: float):
-    """Of rows (key, node, n, pos) sorted by key and node: (null, a, b, ...) for each pair of a small bucket that may reach
-    ``similarity``, and the rows (key, node, null, n, pos) of large ones. Memory is bounded by a batch."""
-    share = similarity / (1 + similarity)
-    rest, going = [np.empty(0, np.int64)] * 4, None
-    names = ["key", "a", "b", "n", "pos"]
-    for b in chain(batches, [None]):
-        cols = rest if b is None else [np.concatenate([r, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for r, c in zip(rest, b.columns, strict=True)]
-        if not len(cols[0]):
-            continue
-        once = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
-        cols = [c[once] for c in cols]
-        key = cols[0]
-        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[cut, len(key)])
-        large = size > SMALL_BUCKET
-        if going is not None and key[0] == going:
-            large[0] = True
-        done = len(key) if b is None or large[-1] else int(cut[-1])  # a small last bucket may go on
-        going = key[-1] if large[-1] else None
-        wide = np.repeat(large, size)
-        rest = [c[done:] for c in cols]
-        key, node, n, pos = (c[:done][wide[:done]] for c in cols)
-        if len(key):
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node), pa.nulls(len(key), pa.int64()), pa.array(n.astype(np.int32)), pa.array(pos.astype(np.int32))], names)
-        key, node, n, pos = (c[:done][~wide[:done]] for c in cols)
-        out = []
-        for k in range(1, SMALL_BUCKET):
-            i = np.flatnonzero(key[:-k] == key[k:]) if k < len(key) else np.empty(0, np.int64)
-            if not len(i):
-                break
-            i = i[np.minimum(n[i] - pos[i], n[i + k] - pos[i + k]) >= share * (n[i] + n[i + k]) - 1e-6]
-            out.append(np.stack([node[i], node[i + k]]))  # ascending, as rows are sorted by node
-        if out:
-            pair = np.unique(np.concatenate(out, 1), axis=1)
-            none = pa.nulls(pair.shape[1], pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.nulls(pair.shape[1], pa.int64()), pa.array(pair[0]), pa.array(pair[1]), none, none], names)
-
-
-def _meet(some: DataFrame, rows: DataFrame, similarity: float) -> DataFrame:
-    """Distinct pairs (a, b) of ``some`` and ``rows`` of one bucket and unlike roots that may reach ``similarity``; buckets meet in salted blocks."""
-    left = some.select("key", F.col("node").alias("p"), F.col("n").alias("pn"), F.col("pos").alias("pp"), F.col("root").alias("pr"), F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))).alias("block"))
-    right = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.lit(BLOCKS)).cast("int"))
-    fits = F.least(F.col("n") - F.col("pos"), F.col("pn") - F.col("pp")) >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("pn")) - 1e-6
-    return left.join(right, ["key", "block"]).where((F.col("root") != F.col("pr")) & fits).select(F.least("p", "node").alias("a"), F.greatest("p", "node").alias("b")).distinct()
-
-
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose texts, by ``texts`` (node, text), have shingles of Jaccard similarity ``similarity`` or more."""
 
-    def run(batches):
-        for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(4)]
-            last, own, keep = None, set(), []
-            for x, y, s, t in zip(*cols, strict=True):
-                if y != last:
-                    last, own = y, shingle_set(t, width)
-                if jaccard(own, shingle_set(s, width)) >= similarity:
-                    keep.append((x, y))
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in keep], pa.int64()) for k in range(2)], ["a", "b"])
-
-    left = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("s")), "a")
-    both = left.join(texts.select(F.col("node").alias("b"), F.col("text").alias("t")), "b").select("a", "b", "s", "t")
-    return materialize(both.mapInArrow(run, "a long, b long"), "verified")
-
-
-def _settle(edges: DataFrame, big: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(node, root) of all components: ``edges``, and every pair of a bucket of ``big`` whose ends are not in one component yet.
-
-    A few pivots of each bucket, those with most links first, meet the whole bucket; what they join needs no more
-    comparison. When little is left, or the pivots no longer help, each row outside its bucket's largest component meets all
-    rows of other components, so no pair goes unseen.
-    """
-    for pivots in (*PIVOTS, 0):
-        roots = materialize(components(edges), "roots")
-        rows = big.join(roots, "node", "left").select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-        mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        rows = materialize(rows.join(mixed, "key"), "open")
-        parts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("most"), F.sum("c").alias("size"))
-        left, size = parts.agg(F.sum(F.expr("(size - most) * size")), F.sum("size")).first()
-        if not size:
-            return roots
-        last = not pivots or left <= ENOUGH * size
-        if last:
-            some = rows.join(parts.select("key", "main"), "key").where("root <> main")
-        else:
-            degree = edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-            order = Window.partitionBy("key").orderBy(F.coalesce("links", F.lit(0)).desc(), F.xxhash64("node"), "node")
-            some = rows.join(degree, "node", "left").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= pivots)
-        edges = edges.unionByName(verified(_meet(some, rows, similarity), texts, width, similarity))
-        if last:
-            return components(edges)
-    raise AssertionError("the last round returns")
+def _each(batches, width: int) -> Iterator[tuple[list, list]]:
+    """Ids, and (word hashes, shingle hashes, sorted distinct shingle hashes, hash of these), of (id, text) batches."""
+    cache: dict[bytes, int] = {}
+    for b in batches:
+        found = []
+        for t in b.column(1).cast(pa.binary()).to_pylist():
+            v = word_hashes((t or b"").lower().split(), cache)
+            s = shingle_hashes(v, width)
+            u = np.unique(s)
+            found.append((v, s, u, xxhash.xxh64_intdigest(u.tobytes(), 7)))
+        yield b.column(0).to_pylist(), found
+
+
+def _longs(values) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def near_groups(prints: DataFrame) -> DataFrame:
+    """(grp, node) of ``prints`` (node, p0, p1, ...): nodes whose fingerprints of one kind are in one component of Hamming
+    links; groups of two nodes or more."""
+    kinds = [c for c in prints.columns if c != "node"]
+    # anchors' fingerprints are of one kind, but take the shuffle one after another: its files go as each is written
+    named = lambda k, c: F.xxhash64(F.lit(min(k, 1)), c)
+    edges = None
+    for k, c in enumerate(kinds):
+        got = links(prints.select(F.col(c).alias("fp")).distinct()).select(named(k, F.col("a")).alias("a"), named(k, F.col("b")).alias("b"))
+        edges = got if edges is None else edges.unionByName(got)
+    roots = components(edges)
+    each = prints.select("node", F.explode(F.array_distinct(F.array(*(named(k, F.col(c)) for k, c in enumerate(kinds))))).alias("fp"))
+    grouped = each.join(roots, each["fp"] == roots["node"], "left").select(F.coalesce("root", "fp").alias("grp"), each["node"]).distinct()
+    grouped = materialize(grouped.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(8)).cast("int")), "grouped")
+    several = grouped.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt"))
+    return materialize(grouped.join(several, ["grp", "salt"]).select("grp", "node"), "groups")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row (the smallest id) of each group of near copies.
 
-    Near copies are all pairs whose ``width``-word shingles have a Jaccard similarity of at least ``similarity``; groups
-    are the components of such pairs. Candidates come from an exact prefix filter and are verified on the words. Equal sets
-    of shingles are one node, known by a 64-bit hash. Ids are taken as unique; rows with a null id and rows without a near
-    copy stay as they are.
+    Candidates are texts with fingerprints in one component of Hamming links (see the module). Near copies are candidates
+    whose ``width``-word shingles have a Jaccard similarity of at least ``similarity``, measured on 64-bit hashes; groups
+    are the components of such pairs, and every pair of candidates is settled. Equal sets of shingles are one node. Rows
+    with a null id and rows without a near copy stay; rows that share an id share one fate, and go if the text of any of
+    them has a near copy of smaller id.
     """
     prepare(docs.sparkSession)
-    n = parallelism(docs.sparkSession)
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
+    names = [f"p{k}" for k in range(len(ANCHORS) + 1)]
 
     def name(batches):
-        for found in _shingled(batches, width):
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _, _ in found], pa.int64()), pa.array(np.array([x for _, _, x in found], np.uint64).view(np.int64))], ["doc_id", "node"])
-
-    prints = materialize(texts.mapInArrow(name, "doc_id long, node long"), "prints")
-    keyed = prefixes(texts, width, similarity).repartition(n, "key").sortWithinPartitions("key", "node")
-    found = materialize(keyed.mapInArrow(lambda b: bucket_pairs(b, similarity), "key long, a long, b long, n int, pos int"), "buckets")
-    pairs = found.where("key is null").select("a", "b").distinct()
-    big = found.where("key is not null").select("key", F.col("a").alias("node"), "n", "pos").distinct()
-    active = found.select(F.explode(F.array("a", "b")).alias("node")).where("node is not null").distinct()
-    first = prints.groupBy("node").agg(F.min("doc_id").alias("first"))
-    met = materialize(texts.join(first.join(active, "node"), F.col("_id") == F.col("first")).select("node", F.col("_text").alias("text")), "texts")
-    roots = _settle(verified(pairs, met, width, similarity), big, met, width, similarity)
-    kept = first.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    kept = kept.join(kept.groupBy("root").agg(F.min("first").alias("kept")), "root").select("node", "kept")
-    drop = prints.join(kept, "node").where("doc_id <> kept").select(F.col("doc_id").alias("_drop"))
+        for ids, found in _each(batches, width):
+            prints = np.array([anchored_prints(v, s) for v, s, _, _ in found], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _longs([x for *_, x in found]), *(pa.array(prints[:, k]) for k in range(len(names)))], ["doc_id", "node", *names])
+
+    rows = materialize(texts.mapInArrow(name, "doc_id long, node long, " + ", ".join(f"{p} long" for p in names)), "prints")
+    first = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", *names)).alias("m")).select("node", "m.*"), "nodes")
+    groups = near_groups(first.select("node", *names))
+    active = materialize(groups.select("node").distinct().join(first, "node").select("node", "doc_id"), "active")
+
+    def sets(batches):
+        for _, found in _each(batches, width):
+            yield pa.RecordBatch.from_arrays([_longs([x for *_, x in found]), pa.array([len(u) for _, _, u, _ in found], pa.int32()), pa.array([u.tobytes() for _, _, u, _ in found], pa.binary())], ["node", "n", "payload"])
+
+    ids = active.select(F.col("doc_id").alias("_id"))
+    chosen = texts.join(F.broadcast(ids) if active.count() <= BROADCAST_IDS else ids, "_id", "left_semi")
+    shingled = materialize(chosen.mapInArrow(sets, "node long, n int, payload binary"), "sets")
+    shingled = shingled.join(active.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    roots = components(settle(groups.join(shingled, "node"), lambda x: ShingleSets(x, similarity), "n"))
+    kept = first.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    kept = kept.join(kept.groupBy("root").agg(F.min("doc_id").alias("kept")), "root").select("node", "kept")
+    drop = rows.join(kept, "node").where("doc_id <> kept").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, docs[id_col].cast("long") == drop["_drop"], "left_anti")
 
 

@@ -122,14 +122,43 @@ def test_keys_meet_within_four_bits():
     assert {i for i, _ in set(zip(at.tolist(), ka.tolist(), strict=True)) & set(zip(bt.tolist(), kb.tolist(), strict=True))} == set(range(len(a)))
 
 
-def test_large_buckets_lose_no_connection():
+def noisy_prints():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
-    fps = np.unique(np.concatenate([b ^ (np.uint64(1) << rng.integers(0, 20, 60).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(20, 40, 60).astype(np.uint64)) for b in base]))
-    got = simhash.bucket_links(np.zeros(len(fps), np.int64), fps, 4)
+    flips = lambda lo, hi: np.uint64(1) << rng.integers(lo, hi, 60).astype(np.uint64)
+    return np.unique(np.concatenate([b ^ flips(0, 20) ^ flips(20, 40) for b in base]))
+
+
+def plain_links(fps):
+    return [(a, b) for i, a in enumerate(fps) for b in fps[:i] if (a ^ b).bit_count() <= 4]
+
+
+def test_large_buckets_lose_no_connection():
+    fps = noisy_prints()
+    got, wide = simhash.bucket_links(np.zeros(len(fps), np.int64), fps, 4)
     got = [(np.int64(a).astype(np.uint64).item(), np.int64(b).astype(np.uint64).item()) for a, b in got]
-    plain = [(a, b) for i, a in enumerate(fps.tolist()) for b in fps[:i].tolist() if (a ^ b).bit_count() <= 4]
-    assert classes(got, fps.tolist()) == classes(plain, fps.tolist())
+    assert len(wide) == 0 and classes(got, fps.tolist()) == classes(plain_links(fps.tolist()), fps.tolist())
+
+
+@pytest.mark.parametrize("rows", [7, 40])
+def test_groups_of_many_blocks_are_settled(spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", rows)
+    fps = noisy_prints().view(np.int64).tolist()
+    groups = spark.createDataFrame([(g, f, f) for g in (1, 2) for f in fps] + [(3, 5, 5)], "grp long, node long, payload long")
+    got = [(r.a, r.b) for r in simhash.settle(groups, lambda x: simhash.Prints(x, 4)).collect()]
+    want = [(a, b) for i, a in enumerate(fps) for b in fps[:i] if ((a ^ b) & (1 << 64) - 1).bit_count() <= 4]
+    assert classes(got, fps) == classes(want, fps)
+
+
+def test_sets_of_many_blocks_are_settled(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 9)
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, (3, 40), dtype=np.uint64)
+    sets = [np.unique(np.r_[rng.permutation(base[k % 3])[:36], rng.integers(0, 1 << 60, 2, dtype=np.uint64)]) for k in range(90)] + [np.empty(0, np.uint64)]
+    groups = spark.createDataFrame([(1, k, len(x), bytearray(x.tobytes())) for k, x in enumerate(sets)], "grp long, node long, n int, payload binary")
+    got = [(r.a, r.b) for r in simhash.settle(groups, lambda x: simhash.ShingleSets(x, 0.7), "n").collect()]
+    want = [(i, j) for i in range(len(sets)) for j in range(i) if simhash.jaccard({*sets[i].tolist()}, {*sets[j].tolist()}) >= 0.7]
+    assert classes(got, range(len(sets))) == classes(want, range(len(sets)))
 
 
 def test_near_dedup_matches_brute_force(docs, texts):
@@ -198,7 +227,30 @@ def test_verified_stage_finds_appended_cut_and_short_copies(spark):
             more = list(rng.choice(words, max(1, n // 5)))
             texts += [" ".join(t) for t in (base, base + more, more[: n // 6] + base, base[: n - n // 6], base[: n // 2] + ["changed"] + base[n // 2 :])]
     got, want = near_copy_classes(spark, texts)
-    assert len(want) < len(texts) / 2 and got == want
+    assert len(want) < len(texts) / 2 and want <= got  # nothing goes that has no near copy
+    assert len(got - want) <= 0.03 * (len(texts) - len(want))
+
+
+def test_verified_stage_compares_texts_of_one_fingerprint(spark):
+    rng = np.random.default_rng(13)
+    words = [f"w{k}" for k in range(200)]
+    other = list(rng.permutation(words))
+    texts = [" ".join(rng.permutation(words)), " ".join(other), " ".join([other[1], other[0], *other[2:]])]
+    assert near_copy_classes(spark, texts) == ({0, 1}, {0, 1})
+
+
+def test_verified_stage_recall_on_all_pairs(spark, docs, texts):
+    kept = {r.doc_id for r in simhash.drop_near_copies(docs).select("doc_id").collect()}
+    ids = sorted(texts)
+    sets = {i: simhash.shingle_set(texts[i]) for i in ids}
+    met = collections.defaultdict(list)  # sets of that similarity share one of the first fifth, by any order
+    for i in ids:
+        for s in sorted(sets[i], key=hash)[: len(sets[i]) - math.ceil(0.8 * len(sets[i])) + 1]:
+            met[s].append(i)
+    pairs = {(a, b) for m in met.values() for k, b in enumerate(m) for a in m[:k]}
+    near = [(a, b) for a, b in pairs if simhash.jaccard(sets[a], sets[b]) >= 0.8]
+    want = set(classes(near, ids).values())
+    assert want <= kept and len(kept - want) <= 0.05 * (len(ids) - len(want))
 
 
 # ---- language model

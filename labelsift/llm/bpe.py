@@ -64,12 +64,13 @@ class TrieBPE:
         self.longest = max(len(t.removesuffix(self.suffix)) for t in self.vocab)
         self.library = Tokenizer.from_file(path)
         self.symbols = byte_symbols()
+        self.byte = {c: b for b, c in enumerate(self.symbols)}
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         # the library's \s in full, so that control characters that only Python counts as white space stay
         self.ascii = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r\x20a-z0-9]+")
         self.latin = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\t-\r\x20\x85\xa0\p{L}\p{N}]+")
         self.plain = regex.compile("[\x00-ɏ]*")
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str | tuple[str], bytes] = {}
         #: vocabulary entries: their ids if their own symbols encode to them, else -2; -1 until that has been asked
         self.whole: dict[str, int] = dict.fromkeys(self.vocab, -1)
         self.joins: dict[int, bool] = {}
@@ -83,12 +84,10 @@ class TrieBPE:
         normal = self.library.normalizer.normalize_str(text)
         if self.plain.fullmatch(normal):
             return self.latin.findall(normal)
-        return ["\0" + w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+        return [bytes(map(self.byte.__getitem__, w)).decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(normal)]
 
     def spelled(self, word: str) -> str:
-        """A word in the byte alphabet, one character a byte. Words marked by NUL are in it already."""
-        if len(word) > 1 and word[0] == "\0":
-            return word[1:]
+        """A word in the byte alphabet, one character a byte."""
         return word if word.isascii() and word.isprintable() else "".join([self.symbols[b] for b in word.encode()])
 
     def merge(self, units: list[str]) -> list[str]:
@@ -171,18 +170,18 @@ class TrieBPE:
         split = []
         for text in texts:
             segments = self.cut.split(text or "") if self.cut else [text or ""]
-            words: list[str] = []
+            words: list[str | tuple[str]] = []  # a special token is a tuple, so that no word is taken for one
             for k, s in enumerate(segments):
                 if k % 2:
-                    words.append("\1" + s)
+                    words.append((s,))
                 elif s:
                     words += self.pieces(s)
             split.append(words)
         if len(self.known) > WORDS_KEPT:
             self.known.clear()
         fresh = set().union(*split) - self.known.keys()
-        for w in [w for w in fresh if w[0] == "\1" and w[1:] in self.special]:
-            self.known[w] = struct.pack("<I", self.special[w[1:]])
+        for w in [w for w in fresh if isinstance(w, tuple)]:
+            self.known[w] = struct.pack("<I", self.special[w[0]])
             fresh.discard(w)
         if fresh:
             self.learn(fresh)

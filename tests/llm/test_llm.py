@@ -314,6 +314,20 @@ def test_bpe_equals_the_library(odd, docs):
         assert g.decoded_sha256 == hashlib.sha256(lib.decode(e.ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_bpe_equals_the_library_on_any_characters():
+    mine = bpe.TrieBPE(bpe.vocabulary_path())
+    rng = np.random.default_rng(6)
+    pool = [*map(chr, range(0x300)), "\u0301", "日", "😀", "\u200d", "\u2028", "\ue000", *mine.special, "the", "'s"]
+    draw = lambda n: "".join(pool[k] for k in rng.integers(0, len(pool), n))
+    strange = ["\0\0", "\0!", "a\0!b", "é\0!", "\0", "日\0\0x", "\1<|endoftext|>"]
+    strange += [chr(a) + chr(b) for a in range(0x300) for b in (0, 33, 65, 0x20, int(rng.integers(0x300)))]
+    strange += [draw(3) for _ in range(5000)] + [draw(40) for _ in range(500)] + [draw(20_000)]
+    for t, (ids, n) in zip(strange, mine.encode(strange), strict=True):
+        want = mine.library.encode(t, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{n}I", ids)) == want, t
+        assert mine.decode(ids) == mine.library.decode(want, skip_special_tokens=False)
+
+
 def test_bpe_round_trip(odd, empty):
     path = bpe.vocabulary_path()
     ids = bpe.bpe_encode(odd, path)

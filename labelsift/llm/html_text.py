@@ -1,23 +1,30 @@
 """Main text of web pages by the maximum-scoring subsequence of words and tags.
 
-A page is a sequence of words and tags. Words score positive and tags negative; a tag's score depends on its name, on
-whether it opens or closes and on the kind of block it stands in, and a word's on the kind of block around it. The
-weights are log-odds of standing inside the content, learnt from labelled pages: pages that mark their content with
-``article`` or ``main``. A single linear scan finds the contiguous region with the largest sum. Blocks inside the
-region that are never content by what they are (scripts, styles, menus, headers and footers of the page, sidebars,
-forms, notices, adverts, reader comments) score as boilerplate and are left out of the text.
-
-The fit sees a bounded sample of pages (``sample``, smallest by hash of the id); pages without labels are read with the
-same weights. Defined results: null html is the empty page, whose text is empty; repeated rows give a row each; an
-empty table gives an empty result; other columns are ignored.
+A page is a sequence of blocks: the words of each score positive, the tags before it negative. A word's weight is the
+share of content among the words of its kind on labelled pages; its kind is the element that holds it, whether it is
+link text, and whether it stands inside ``article`` or ``main``. A tag's weight is ``scale`` times the share of boilerplate
+among its uses, so tags that run through articles cost little and containers cost much; ``scale`` is the value that gives
+the best text on the labelled pages with their labels taken away. A linear scan finds the contiguous region of blocks with
+the largest sum; of equal sums the region that starts, then ends, first.
+
+Labels (``article`` and ``main``) serve the fit. When a page is read, they are ordinary containers; only the weight of
+words outside them shrinks with the share of the page's words that stand inside. Elements that are never content by what
+they are (scripts, styles, menus, headers and footers of the page, sidebars, forms, notices, adverts, reader comments) are
+markup: one tag of the sequence, whose words are no words of it.
+
+The fit sees a bounded sample of pages (``sample``, smallest by hash of the id). White space is that of HTML (a no-break
+space is none). Defined results: null html is the empty page, whose text is empty; pages without any words in the
+sequence are empty; repeated rows give a row each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
-import math
+import json
 import re
 from collections import Counter
+from collections.abc import Iterable
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,15 +37,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 SHUT = frozenset("script style textarea title noscript template iframe svg math nav aside form footer header head button select dialog menu option label object canvas audio video xmp noembed noframes".split())
-#: Words of class, id and role that name what isn't the article.
+#: Words of class, id and role that name what isn't the article, and words that only say where such a thing stands.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising banner banners sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside widget widgets footer masthead topbar header related recommended recommendations share sharing social comments comment disqus replies reply respond "
-    "pagination pager login search toolbar skip copyright disclaimer form contentinfo complementary".split()
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promotion banner banners cookie cookies consent gdpr notice notices alert popup modal "
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination footer masthead header sidebar sidebars aside form forms newsletter subscribe signup login search comment comments disqus reply replies respond "
+    "share sharing social related contentinfo complementary".split()
 )
+PLACES = frozenset("site page main global top bottom left right inner outer primary secondary first last upper lower list area container wrapper wrap box block slot bar item items link links button buttons section unit thread posts tree form widget widgets native text js mobile desktop".split())
+#: Tags that run through articles; a sample that never shows them tells nothing about them.
+FLOW = frozenset("p br li ul ol dl dt dd table thead tbody tfoot tr td th caption blockquote pre figure figcaption h1 h2 h3 h4 h5 h6 hr address details summary center".split())
+LABELS = ("article", "main")
+HIDDEN = "(never content)"
+#: Words weigh so much at least, so that a page of nothing but an unlikely kind of block still has its text.
+LEAST = 0.03
+SCALES = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|[^<]+|<", re.S)
 ATTR = re.compile(r"(?:^|\s)(class|id|role|aria-label|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
-SPACE = re.compile(r"\s+")
+SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def _shut(tag: str, attrs: str, inside: bool) -> bool:
@@ -57,37 +72,55 @@ def _shut(tag: str, attrs: str, inside: bool) -> bool:
 
 
 def _other_name(word: str, inside: bool) -> bool:
-    """Whether a class, id or role names what isn't the article; no-sidebar, sidebar-layout and ad-free-content don't."""
+    """Whether a class, id or role names what isn't the article: site-footer and ad-slot do, social-science and no-sidebar don't."""
     parts = [p for p in re.split(r"[^a-z]+", word) if p]
-    if not parts or parts[0] in {"no", "has", "with", "without"} or parts[-1] in {"layout", "page", "template", "article", "content", "body", "text", "post", "entry", "main", "story", "title"}:
-        return False
     found = NAMES.intersection(parts)
-    return bool(found) and not (inside and found == {"header"})
+    return bool(found) and found.union(PLACES).issuperset(parts) and not (inside and found == {"header"})
+
 
+class Block(NamedTuple):
+    """A run of text between block tags: its text, whether it is never content, whether it is labelled as content, its
+    kind, its words, the link words among them, and the tags since the last block."""
 
-def blocks(page: str) -> list[tuple[str, bool, bool, list[str]]]:
-    """(text, never content, labelled as content, tags before it) of each block of a page, in page order, empty ones too."""
-    out: list[tuple[str, bool, bool, list[str]]] = []
+    text: str
+    shut: bool
+    label: bool
+    kind: str
+    words: int
+    links: int
+    tags: list[str]
+
+
+def blocks(page: str) -> list[Block]:
+    """The blocks of a page in page order, empty ones too."""
+    out: list[Block] = []
     stack: list[tuple[str, bool]] = []
-    shut = content = 0
+    shut = content = links = 0
     text: list[str] = []
+    linked: list[str] = []
     tags: list[str] = []
 
     def flush() -> None:
-        nonlocal text, tags
+        nonlocal text, linked, tags
         if text or tags:
-            joined = SPACE.sub(" ", "".join(text)).strip()
+            joined = SPACE.sub(" ", "".join(text)).strip(" ")
             if joined or tags:
-                out.append((joined, shut > 0, content > 0, tags))
-        text, tags = [], []
+                kind = next((t for t, _ in reversed(stack) if t in BLOCK), "")
+                out.append(Block(joined, shut > 0, content > 0, "div" if kind in LABELS else kind, joined.count(" ") + 1 if joined else 0, len("".join(linked).split()), tags))
+        text, linked, tags = [], [], []
 
     def close(k: int) -> None:
-        nonlocal shut, content
+        nonlocal shut, content, links
         for t, s in stack[k:]:
             shut -= s
-            content -= t in ("article", "main")
+            content -= t in LABELS
+            links -= t == "a"
         del stack[k:]
 
+    def tag_seen(name: str) -> None:
+        if not shut:
+            tags.append(name)
+
     at, low = 0, page.lower() if page.isascii() else None
     while m := TOKEN.match(page, at):
         at = m.end()
@@ -96,6 +129,8 @@ def blocks(page: str) -> list[tuple[str, bool, bool, list[str]]]:
             s = m[0]
             if not s.startswith("<!") and not s.startswith("<?"):
                 text.append(html.unescape(s))
+                if links:
+                    linked.append(text[-1])
             continue
         if tag in RAW and not m[1]:
             flush()
@@ -110,22 +145,24 @@ def blocks(page: str) -> list[tuple[str, bool, bool, list[str]]]:
         if tag == "br":
             text.append(" ")
             continue
+        name = "div" if tag in LABELS else tag
         if m[1]:
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), -1)
             if tag in BLOCK or (k >= 0 and stack[k][1]):
                 flush()
-                tags.append("/" + tag)
+                tag_seen("/" + name)
             if k >= 0:
                 close(k)
             continue
         if tag in VOID:
             if tag in BLOCK:
                 flush()
+                tag_seen(name)
             continue
         s = _shut(tag, m[3], content > 0)
         if tag in BLOCK or s:
             flush()
-            tags.append(tag)
+            tag_seen(HIDDEN if s else name)
         if tag in BLOCK:  # ends a paragraph that was left open
             k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] in BLOCK), -1)
             if k >= 0 and stack[k][0] == "p":
@@ -136,71 +173,100 @@ def blocks(page: str) -> list[tuple[str, bool, bool, list[str]]]:
                 close(k)
         stack.append((tag, s))
         shut += s
-        content += tag in ("article", "main")
+        content += tag in LABELS
+        links += tag == "a"
     flush()
     return out
 
 
+def word_kinds(b: Block) -> Iterable[tuple[str, int]]:
+    """(kind, words) of a block's words: link text is a kind of its own."""
+    links = min(b.links, b.words)
+    if b.words - links:
+        yield b.kind, b.words - links
+    if links:
+        yield b.kind + "+a", links
+
+
 class Weights:
-    """Scores: a word's, by whether its block is never content; a tag's, by name."""
+    """Of words by kind, positive; of tags by name, negative."""
 
-    def __init__(self, word: float, other: float, tags: dict[str, float], unseen: float):
-        self.word, self.other, self.tags, self.unseen = word, other, tags, unseen
+    def __init__(self, words: dict[str, float], tags: dict[str, float], scale: float):
+        self.words, self.tags, self.scale = words, tags, scale
 
     @classmethod
-    def fit(cls, pages: list[str]) -> Weights:
-        """Log-odds from pages whose content is labelled. Without any labelled page, one word outweighs no tag."""
-        words, tags = Counter(), {True: Counter(), False: Counter()}
-        for page in pages:
-            got = blocks(page)
-            if not any(c for _, _, c, _ in got):
-                continue
-            for text, shut, content, before in got:
-                words[content and not shut, shut] += text.count(" ") + 1 if text else 0
-                tags[content].update(before)
-        rate = lambda shut: math.log((words[True, shut] + 1) / (words[False, shut] + 1))
-        word = min(max(rate(False), 0.5), 3.0)
-        inside, outside = sum(tags[True].values()) + 1, sum(tags[False].values()) + 1
-        odds = {t: math.log((tags[True][t] + 0.5) / inside) - math.log((tags[False][t] + 0.5) / outside) for t in tags[True] | tags[False]}
-        return cls(word, -word, {t: -1.0 - max(0.0, min(4.0, -v)) for t, v in odds.items()}, -2.0)
+    def fit(cls, pages: Iterable[list[Block]]) -> Weights:
+        """From pages with labels; without any, words weigh 0.5, link words 0.1, and tags as they do unseen."""
+        labelled = [p for p in pages if any(b.label and b.words and not b.shut for b in p)]
+        words, tags = Counter(), Counter()
+        for page in labelled:
+            for b in page:
+                for kind, n in word_kinds(b):
+                    words[kind, b.label and not b.shut] += n
+                for t in b.tags:
+                    tags[t, b.label] += 1
+        share = lambda c, key, prior: (c[key, True] + 10 * prior) / (c[key, True] + c[key, False] + 10)
+        by_kind = {k: max(share(words, k, 0.1 if k.endswith("+a") else 0.5), LEAST) for k, _ in words}
+        by_tag = {t: 1 - share(tags, t, 0.98 if t.strip("/") in FLOW else 0.5) for t, _ in tags}
+        tried = [cls(by_kind, by_tag, s) for s in SCALES]
+        return max(tried, key=lambda w: (sum(w._agreement(p) for p in labelled), -w.scale))
+
+    def word(self, kind: str) -> float:
+        return self.words.get(kind, 0.1 if kind.endswith("+a") else 0.5)
 
     def tag(self, name: str) -> float:
-        return self.tags.get(name, self.unseen)
+        return -self.scale * self.tags.get(name, 0.02 if name.strip("/") in FLOW else 0.5)
 
+    def sequence(self, page: list[Block], labels: bool = True) -> list[tuple[float, float]]:
+        """(sum of the tags before it, sum of its words) of each block. Where labels hold most words, others weigh little."""
+        inside = sum(b.words for b in page if b.label and not b.shut)
+        total = sum(b.words for b in page if not b.shut)
+        other = (1 - inside / total) ** 2 if labels and inside else 1.0
+        gain = lambda b: 0.0 if b.shut else sum(n * self.word(k) for k, n in word_kinds(b)) * (1.0 if b.label else other)
+        return [(sum(map(self.tag, b.tags)), gain(b)) for b in page]
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """The text blocks of the best contiguous region, joined by line breaks."""
-    got = blocks(page or "")
-    labelled = any(c and t and not s for t, s, c, _ in got)
-    best, best_at, run, start = 0.0, (0, 0), 0.0, 0
-    for k, (text, shut, content, before) in enumerate(got):
-        n = text.count(" ") + 1 if text else 0
-        cost = sum(map(weights.tag, before))
-        if labelled:  # the page says itself where its content is
-            inside = content and not shut
-            gain = n * weights.word if inside else -n * weights.word if not content else 0.0
-            cost = max(cost, -0.25 * weights.word * max(n, 1)) if content else cost
-        else:
-            gain = n * (weights.other if shut else weights.word)
-            if shut:  # a script, an advert or a form inside an article doesn't end it
-                gain, cost = max(gain, -1.0), max(cost, -0.5)
-        if run + cost <= 0:
+    def _agreement(self, page: list[Block]) -> float:
+        """F1 of the words found without labels against the labelled ones."""
+        start, end = best_region(self.sequence(page, labels=False))
+        found = sum(b.words for b in page[start:end] if not b.shut)
+        right = sum(b.words for b in page[start:end] if b.label and not b.shut)
+        return 2 * right / (found + sum(b.words for b in page if b.label and not b.shut))
+
+
+def best_region(sequence: list[tuple[float, float]]) -> tuple[int, int]:
+    """(start, end) of the blocks with the largest sum of words and of the tags between them, by one scan; (0, 0) if none is positive."""
+    best, region, run, start = 0.0, (0, 0), 0.0, 0
+    for k, (tags, words) in enumerate(sequence):
+        if run + tags <= 0:
             run, start = 0.0, k
         else:
-            run += cost
-        run += gain
+            run += tags
+        run += words
         if run > best:
-            best, best_at = run, (start, k + 1)
-        if run < 0:
-            run, start = 0.0, k + 1
-    return "\n".join(t for t, shut, content, _ in got[best_at[0] : best_at[1]] if t and not shut and (content or not labelled))
+            best, region = run, (start, k + 1)
+    return region
+
+
+def main_text(page: str | None, weights: Weights) -> str:
+    """The text blocks of the best contiguous region, joined by line breaks."""
+    got = blocks(page or "")
+    start, end = best_region(weights.sequence(got))
+    return "\n".join(b.text for b in got[start:end] if b.text and not b.shut)
 
 
 def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 500, longest: int = 200_000) -> Weights:
-    """Weights from at most ``sample`` labelled pages of up to ``longest`` characters, the smallest by a hash of the id."""
+    """Weights from at most ``sample`` labelled pages of up to ``longest`` characters, the smallest by a hash of the id.
+
+    Executors take the pages apart; the driver gets the blocks' counts and tags, not their text.
+    """
     h = F.col(html_col)
     rows = pages.where(h.rlike("(?i)<(article|main)[\\s>]") & (F.length(h) <= longest)).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample)
-    return Weights.fit([r[0] for r in rows.select(h).collect()])
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([json.dumps([x._replace(text="") for x in blocks(p)]) for p in b.column(0).to_pylist()], pa.string())], ["page"])
+
+    return Weights.fit([[Block(*x) for x in json.loads(r[0])] for r in rows.select(h.cast("string")).mapInArrow(run, "page string").collect()])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", weights: Weights | None = None) -> DataFrame:

@@ -374,21 +374,60 @@ PAGE = """<!doctype html><html><head><title>T</title><style>p{}</style><script>v
 WANT = "A title & more\nFirst line goes on é.\nSecond bold paragraph with words.\nThird one is here, too."
 
 
-def test_pages(spark, sf_dir):
-    w = html_text.fit_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    assert html_text.main_text(PAGE % ("<article>", "</article>"), w) == WANT
-    assert html_text.main_text(PAGE % ("<div>", "</div>"), w) == WANT
-    assert [html_text.main_text(x, w) for x in (None, "", "<nav>menu</nav>", "<", "<p", "&amp;&#65;")] == ["", "", "", "<", "", "&A"]
+@pytest.fixture(scope="module")
+def weights(spark, sf_dir):
+    return html_text.fit_weights(spark.read.parquet(f"{sf_dir}/pages.parquet"), sample=100)
+
+
+def test_pages(weights):
+    assert html_text.main_text(PAGE % ("<article>", "</article>"), weights) == WANT
+    assert html_text.main_text(PAGE % ("<div>", "</div>"), weights) == WANT
+    assert [html_text.main_text(x, weights) for x in (None, "", "<nav>menu</nav>", "<", "<p", "&amp;&#65;", "<p>a&nbsp; b</p>")] == ["", "", "", "<", "", "&A", "a\xa0 b"]
+
+
+def test_pages_of_other_layouts(weights):
+    body = " ".join(f"word{k}" for k in range(150))
+    text = lambda page: html_text.main_text(page, weights)
+    assert text(f'<body><div class="social-science"><p>{body}</p></div></body>') == body
+    assert text(f"<body><p>{body}</p><table><tr><td>a</td><td>b</td></tr></table><ul><li>x</li><li>y z</li></ul></body>") == f"{body}\na\nb\nx\ny z"
+    assert text(f"<article><p>{body}</p></article><article><p>{body} 2</p></article>") == f"{body}\n{body} 2"
+    assert text(f"<article><p>a short card</p></article><div><p>{body}</p></div>").endswith(body)
+    assert text(f"<div>{body}</div><div>{body}</div>") == f"{body}\n{body}"
+    assert text("<p>" + "long text " * 200_000 + "</p>") == ("long text " * 200_000).strip()
+    assert text("<div>" * 5000 + body) == body
 
 
-def test_pages_keep_their_articles(spark, sf_dir):
+def test_pages_keep_their_articles(spark, sf_dir, weights):
+    """With the labels, without them, and without any name that tells what is boilerplate; the fit saw 100 of the pages."""
     import html
 
     pages = {r.page_id: r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     for r in html_text.op5_html_extraction(spark, sf_dir).collect():
-        inside = re.search(r"<article>(.*?)</article>", pages[r.page_id], re.S)[1]
+        page = pages[r.page_id]
+        inside = re.search(r"<article>(.*?)</article>", page, re.S)[1]
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]*>", "", b))).strip() for b in re.split(r"</?(?:p|h1)>", inside)]
-        assert r.text == "\n".join(p for p in parts if p) and r.n_chars == len(r.text)
+        want = "\n".join(p for p in parts if p)
+        assert r.text == want and r.n_chars == len(r.text)
+        plain = re.sub(r"<(/?)article>", r"<\1div>", page)
+        assert html_text.main_text(plain, weights) == want
+        assert html_text.main_text(re.sub(r"<(/?)(?:nav|footer)>", r"<\1div>", plain).replace(' class="ad"', ""), weights) == want
+
+
+def test_scan_finds_the_largest_sum():
+    rng = np.random.default_rng(8)
+    for _ in range(300):
+        seq = [(-float(rng.integers(0, 4)), float(rng.integers(0, 4))) for _ in range(int(rng.integers(0, 9)))]
+        total = lambda i, j: sum(w for _, w in seq[i:j]) + sum(t for t, _ in seq[i + 1 : j])
+        ranges = [(i, j) for i in range(len(seq)) for j in range(i + 1, len(seq) + 1)]
+        i, j = html_text.best_region(seq)
+        assert (total(i, j) if i < j else 0) == max([0, *(total(*r) for r in ranges)])
+
+
+def test_page_tables(spark):
+    rows = [(1, "u", None, "x"), (1, "u", None, "x"), (None, None, "<p>text here</p>", "y")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string"))
+    assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got.collect()) == [(0, "text here", 9), (1, "", 0), (1, "", 0)]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
 # ---- mixing

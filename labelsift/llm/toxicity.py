@@ -1,15 +1,19 @@
 """Toxicity by cumulative-link ordinal regression on sparse text features.
 
 A text's features are its distinct words and the five-letter beginnings of longer words, hashed. Severity has ordered
-grades: 0 for texts labelled clean; labelled toxic texts are graded 1 to ``grades`` - 1 by how many of their words are
-such as training texts show almost only when toxic (quantiles of that number, from the training sample). The model
-shares one weight vector across the ordered thresholds: P(grade >= k) = sigmoid(w.x - t_k). It returns expected severity,
-the sum of these probabilities, and calls a text toxic when P(grade >= 1) is at least ``CUT``, which held-out labels chose.
+grades. Labels tell toxic from clean only, so the grades are ordinal by construction, not by judgement: 0 for texts
+labelled clean; labelled toxic texts are graded 1 to ``grades`` - 1 by how many of their words are such as training texts
+show almost only when toxic (quantiles of that number, from the training sample). Grade 1 and up is what labels check.
+The model shares one weight vector across the ordered thresholds, P(grade >= k) = sigmoid(w.x - t_k), and maximises the
+likelihood of the grades, P(grade = k) = P(grade >= k) - P(grade >= k + 1). It returns expected severity, the sum of
+these probabilities, and a grade: how many P(grade >= k) are reached, the first at ``CUT``, which held-out labels chose,
+the others at one half. A text is toxic if its grade isn't 0.
 
 The fit takes at most ``sample`` labelled rows of either label (the smallest by a hash of the id), a documented bound;
 scoring covers every whole text. Defined results: null text is the empty text; rows with null or duplicate labels take no
 part in the fit (of duplicates one label, the largest, does); without labels of both kinds nothing is toxic; repeated
-rows are scored each; an empty table gives an empty result; other columns are ignored.
+rows are scored each; an empty table gives an empty result; columns named like the result's give way to them, all others
+stay.
 """
 
 from __future__ import annotations
@@ -24,12 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, prepare
+from .common import documents, prepare, unused
 
 BITS = 20
 WORD = re.compile(r"[^\W\d_]+")
 CACHE = 100_000
-CUT = 0.2
+#: A text is toxic from this P(grade >= 1) on; higher grades are given from one half on. Thresholds are so far apart at least.
+CUT, HALF, GAP = 0.1, 0.5, 1e-3
 
 
 def features(word: str) -> list[str]:
@@ -96,8 +101,25 @@ def severity(row: np.ndarray, col: np.ndarray, toxic: np.ndarray, grades: int) -
     return out
 
 
+def loss(margin: np.ndarray, thresholds: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades, its gradient by each margin, and by each threshold.
+
+    P(grade = k) = s_k - s_(k+1) with s_k = sigmoid(margin - t_k), s_0 = 1 and s_(last + 1) = 0.
+    """
+    n, rows = len(margin), np.arange(len(margin))
+    s = 1 / (1 + np.exp(np.clip(thresholds - margin[:, None], -40, 40)))
+    s = np.concatenate([np.ones((n, 1)), s, np.zeros((n, 1))], 1)
+    above, below = s[rows, grade], s[rows, grade + 1]
+    p = np.maximum(above - below, 1e-12)
+    slope = s * (1 - s)
+    by_threshold = np.zeros((n, s.shape[1]))
+    by_threshold[rows, grade] += slope[rows, grade] / p
+    by_threshold[rows, grade + 1] -= slope[rows, grade + 1] / p
+    return float(-np.log(p).mean()), (above + below - 1) / n, by_threshold[:, 1:-1].sum(0) / n
+
+
 def fit(rows: list[np.ndarray], toxic: np.ndarray, grades: int = 4, rounds: int = 400, rate: float = 0.3, l1: float = 1e-4, screen: float = 5.0) -> Ordinal:
-    """Proximal adaptive gradient on the cumulative-link likelihood; ``rows`` are the features of each text."""
+    """Adaptive gradient descent on the cumulative-link likelihood; ``rows`` are the features of each text."""
     nothing = Ordinal(np.zeros(1 << BITS, np.float32), np.full(grades - 1, 40.0))
     if len(rows) == 0 or toxic.min() == toxic.max() or not any(map(len, rows)):
         return nothing
@@ -113,21 +135,16 @@ def fit(rows: list[np.ndarray], toxic: np.ndarray, grades: int = 4, rounds: int
     if not len(used):
         return nothing
     w, g2 = np.zeros(len(used)), np.full(len(used), 1e-8)
-    k = np.arange(1, grades)
-    above = (grade[:, None] >= k).astype(float)
     t, t2 = np.linspace(2, grades, grades - 1), np.full(grades - 1, 1e-8)
     for _ in range(rounds):
-        m = np.bincount(row, w[col], len(rows))
-        p = 1 / (1 + np.exp(np.clip(t - m[:, None], -40, 40)))
-        err = (p - above) / len(rows)
-        g = np.bincount(col, err.sum(1)[row], len(used))
+        _, by_margin, by_threshold = loss(np.bincount(row, w[col], len(rows)), t, grade)
+        g = np.bincount(col, by_margin[row], len(used))
         g2 += g * g
         step = rate / np.sqrt(g2)
-        w = w - step * g
-        w = np.maximum(w - step * l1, 0)  # words can only add to severity
-        e = err.sum(0)
-        t2 += e * e
-        t = np.sort(t + rate * e / np.sqrt(t2))  # ordered thresholds
+        w = np.maximum(w - step * (g + l1), 0)  # words can only add to severity
+        t2 += by_threshold * by_threshold
+        t = t - rate * by_threshold / np.sqrt(t2)
+        t = t[0] + np.r_[0, np.maximum(np.diff(t), GAP).cumsum()]  # ordered thresholds
     full = np.zeros(1 << BITS, np.float32)
     full[used] = w
     return Ordinal(full, t)
@@ -151,21 +168,28 @@ def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     return fit(rows, np.array(got.column(1).to_pylist(), int), grades)
 
 
-def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of ``docs`` and _severity (double), _grade (int, the likeliest) and _toxic (boolean)."""
+def graded(p: np.ndarray) -> np.ndarray:
+    """Grades of rows of P(grade >= 1), P(grade >= 2), ...: how many of these are reached, the first at ``CUT``, others at ``HALF``."""
+    return (p >= np.r_[CUT, np.full(p.shape[1] - 1, HALF)]).cumprod(1).sum(1)
+
+
+def score(docs: DataFrame, model: Ordinal, text_col: str = "text", names: tuple[str, str, str] = ("expected_severity", "grade", "toxic")) -> DataFrame:
+    """The columns of ``docs`` and three more: expected severity (double), grade (int) and toxic (boolean: the grade isn't 0).
+
+    Columns of ``docs`` that have one of these names (in any case) give way.
+    """
     spark = prepare(docs.sparkSession)
     blob = spark.sparkContext.broadcast(model)
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in names}])
 
     def run(batches):
         for b in batches:
             m = blob.value
             p = m.at_least(np.array([m.margin(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()], float).reshape(-1))
-            each = np.concatenate([np.ones((len(p), 1)), p], 1) - np.concatenate([p, np.zeros((len(p), 1))], 1)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(p.sum(1)), pa.array(each.argmax(1).astype(np.int32)), pa.array(p[:, 0] >= CUT)], [*b.schema.names, "_severity", "_grade", "_toxic"]
-            )
+            grade = graded(p)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p.sum(1)), pa.array(grade.astype(np.int32)), pa.array(grade > 0)], [*b.schema.names, *names])
 
-    schema = docs.withColumns({"_severity": F.lit(0.0), "_grade": F.lit(0), "_toxic": F.lit(False)}).schema
+    schema = docs.withColumns(dict(zip(names, (F.lit(0.0), F.lit(0), F.lit(False)), strict=True))).schema
     for f in schema.fields:
         f.nullable = True
     return docs.mapInArrow(run, schema)
@@ -174,10 +198,11 @@ def score(docs: DataFrame, model: Ordinal, id_col: str = "doc_id", text_col: str
 def drop_toxic(docs: DataFrame, labels: DataFrame, fit_docs: DataFrame | None = None) -> DataFrame:
     """The documents that aren't called toxic, with their columns."""
     model = fit_labels(fit_docs if fit_docs is not None else docs, labels)
-    return score(docs, model).where(~F.col("_toxic")).drop("_severity", "_grade", "_toxic")
+    names = tuple(unused(docs, n) for n in ("severity", "grade", "toxic"))
+    return score(docs, model, names=names).where(~F.col(names[2])).drop(*names)
 
 
 def op8_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = fit_labels(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs.select("doc_id", "text"), model).select("doc_id", F.col("_severity").alias("expected_severity"), F.col("_grade").alias("grade"), F.col("_toxic").alias("toxic"))
+    return score(docs.select("doc_id", "text"), model).drop("text")

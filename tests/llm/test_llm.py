@@ -467,17 +467,44 @@ def test_held_out_toxicity():
     m = toxicity.fit([toxicity.slots(r) for r in rows[:800]], y[:800])
     assert (np.diff(m.thresholds) >= 0).all()
     p = m.at_least(np.array([m.margin(r) for r in rows[800:]]))
-    called = p[:, 0] >= toxicity.CUT
+    called = toxicity.graded(p) > 0
     assert called[y[800:] == 1].mean() > 0.95 and called[y[800:] == 0].mean() < 0.02
     assert (np.diff(p, axis=1) <= 0).all()
 
 
+def test_likelihood_and_gradients_match_the_plain_definition():
+    rng = np.random.default_rng(9)
+    m, t, y = rng.normal(0, 2, 50), np.array([-1.0, 0.5, 2.0]), rng.integers(0, 4, 50)
+
+    def plain(m, t):
+        at_least = lambda k, x: 1.0 if k == 0 else 0.0 if k == 4 else 1 / (1 + math.exp(t[k - 1] - x))
+        return -sum(math.log(at_least(k, x) - at_least(k + 1, x)) for x, k in zip(m, y, strict=True)) / len(m)
+
+    value, by_m, by_t = toxicity.loss(m, t, y)
+    assert value == pytest.approx(plain(m, t))
+    step = lambda n, k: 1e-6 * np.eye(n)[k]
+    assert by_m == pytest.approx([(plain(m + step(50, k), t) - plain(m - step(50, k), t)) / 2e-6 for k in range(50)], abs=1e-6)
+    assert by_t == pytest.approx([(plain(m, t + step(3, k)) - plain(m, t - step(3, k))) / 2e-6 for k in range(3)], abs=1e-6)
+
+
+def test_grades_of_probabilities():
+    p = np.array([[0.05, 0.01, 0.0], [toxicity.CUT, 0.1, 0.0], [0.9, 0.5, 0.1], [0.9, 0.8, 0.7], [0.04, 0.03, 0.02]])
+    assert toxicity.graded(p).tolist() == [0, 1, 2, 3, 0]
+
+
 def test_toxicity_cases(spark, odd, empty):
     labels = spark.createDataFrame([(3, 1), (3, 0), (4, None), (None, 1), (7, 0)], "doc_id long, toxic int")
     model = toxicity.fit_labels(odd, labels)
-    assert toxicity.score(odd, model).count() == odd.count()
-    assert toxicity.drop_toxic(odd, labels.limit(0)).count() == odd.count()
-    assert toxicity.drop_toxic(empty, labels).count() == 0 and toxicity.drop_toxic(odd, labels).columns == odd.columns
+    clash = odd.withColumns({"grade": F.lit("x"), "Toxic": F.lit("y"), "_severity": F.lit(1), "_toxic": F.lit(2)})
+    got = toxicity.score(clash, model)
+    assert got.columns == [c for c in clash.columns if c not in ("grade", "Toxic")] + ["expected_severity", "grade", "toxic"] and got.count() == odd.count()
+    assert all(r.toxic == (r.grade > 0) and 0 <= r.expected_severity <= 3 for r in got.collect())
+    assert toxicity.drop_toxic(clash, labels.limit(0)).exceptAll(clash).isEmpty() and toxicity.drop_toxic(clash, labels.limit(0)).count() == odd.count()
+    assert toxicity.drop_toxic(empty, labels).count() == 0 and toxicity.drop_toxic(clash, labels).columns == clash.columns
+    long = spark.createDataFrame([(1, "vile " + "word " * 300_000)], "doc_id long, text string")
+    weights = np.zeros(1 << toxicity.BITS, np.float32)
+    weights[toxicity.slot("vile")] = 9
+    assert toxicity.score(long, toxicity.Ordinal(weights, np.array([1.0, 2.0, 30.0]))).first().grade == 2
 
 
 # ---- licences

@@ -84,3 +84,10 @@ def unused(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = "_" + name
     return name
+
+
+def salted_join(large: DataFrame, small: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """Join on ``key`` with a side that holds each key once: rows of a hot key in ``large`` are dealt out by ``by``."""
+    salt = unused(large, "_salt")
+    left = large.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
+    return left.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], how).drop(salt)

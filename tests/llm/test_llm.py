@@ -510,42 +510,85 @@ def test_toxicity_cases(spark, odd, empty):
 # ---- licences
 
 
+GPL_HEADER = """/*
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful
+ */
+int main() { return 0; }
+"""
+
+
 def test_licenses(spark, empty):
     mit = "Released under the MIT License."
     rows = [("a/LICENSE", mit), ("a/b/x.txt", "nothing here"), ("a/b/c/y.txt", "intro text.\nLicensed under the Apache License, Version 2.0.\nmore"), ("a/b/COPYING", "This work is licensed under the GNU General Public License, version 3."), ("z/q.txt", None), ("a/top.txt", "plain"), (None, mit), ("a/b/c/d/e.txt", "the of and license to kill")]
-    got = {r.path: r for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
-    assert (got["a/b/x.txt"].license, got["a/b/x.txt"].found, got["a/b/x.txt"].license_dir) == ("GPL-3.0", "inherited", "a/b")
-    assert (got["a/b/c/y.txt"].license, got["a/b/c/y.txt"].found) == ("Apache-2.0", "own")
-    assert got["a/top.txt"].license == "MIT" and got["z/q.txt"].license is None and got[""].license == "MIT"
-    assert got["a/b/c/d/e.txt"].license == "GPL-3.0" and got["a/b/c/d/e.txt"].found == "inherited"
+    rows += [("h/main.c", GPL_HEADER), ("h/spdx.py", "# SPDX-License-Identifier: Apache-2.0\nimport os"), ("h/other.py", "# SPDX-License-Identifier: Foo-1.0"), ("k/LICENSE", "                 GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software"), ("k/a", "x"), ("m/LICENSE.md", "MIT License\n\nCopyright (c) someone\n\nPermission is hereby granted, free of charge, to any\nperson obtaining a copy of this software and associated\ndocumentation files"), ("m/b/c", "y")]
+    rows += [("n/bsd.c", "// Redistribution and use in source and binary forms,\n// with or without modification, are permitted\n// provided that the following conditions\n// are met:\n"), ("n/two.c", "This program is licensed under the GNU General Public License, version 2."), ("n/long.txt", "word " * 200_000 + "\n" + mit + "\n" + "word " * 1000)]
+    files = spark.createDataFrame([(*r, "old", 1.0, "r") for r in rows], "path string, text string, license string, similarity double, _row string")
+    out = licenses.scan(files)
+    assert out.columns == ["_row", "path", "license", "similarity", "found", "license_dir"] and {r._row for r in out.collect()} == {"r"}
+    got = {r.path: (r.license, r.found, r.license_dir) for r in out.collect()}
+    assert got == {
+        "a/LICENSE": ("MIT", "own", None), "a/b/x.txt": ("GPL-3.0", "inherited", "a/b"), "a/b/c/y.txt": ("Apache-2.0", "own", None), "a/b/COPYING": ("GPL-3.0", "own", None), "z/q.txt": (None, None, None), "a/top.txt": ("MIT", "inherited", "a"), "": ("MIT", "own", None), "a/b/c/d/e.txt": ("GPL-3.0", "inherited", "a/b"),
+        "h/main.c": ("GPL-3.0", "own", None), "h/spdx.py": ("Apache-2.0", "own", None), "h/other.py": (None, None, None), "k/LICENSE": ("GPL-3.0", "own", None), "k/a": ("GPL-3.0", "inherited", "k"), "m/LICENSE.md": ("MIT", "own", None), "m/b/c": ("MIT", "inherited", "m"),
+        "n/bsd.c": ("BSD-3-Clause", "own", None), "n/two.c": ("GPL-2.0", "own", None), "n/long.txt": ("MIT", "own", None),
+    }
     assert licenses.scan(empty.withColumn("path", F.col("source"))).count() == 0
 
 
+def test_inheritance_matches_brute_force(spark):
+    rng = np.random.default_rng(7)
+    texts = ["Released under the MIT License.", "Released under the ISC License.", "nothing", None]
+    rows = [("/".join(["r", *rng.choice(list("ab"), rng.integers(0, 6)), f"f{k}"]), texts[int(rng.choice(4, p=[0.1, 0.1, 0.7, 0.1]))]) for k in range(400)]
+    own = {p: {"Released under the MIT License.": "MIT", "Released under the ISC License.": "ISC"}.get(t) for p, t in rows}
+    given = {}
+    for p in sorted(p for p in own if own[p]):
+        given.setdefault(p.rpartition("/")[0], own[p])
+
+    def licence(p):
+        d = p
+        while own[p] is None and d:
+            d = d.rpartition("/")[0]
+            if d in given:
+                return given[d]
+        return own[p]
+
+    got = licenses.scan(spark.createDataFrame(rows, "path string, text string"), speaks=F.lit(True)).collect()
+    assert {r.path: r.license for r in got} == {p: licence(p) for p in own}
+
+
+def plain_units(text):
+    paragraphs = [re.sub(licenses.BREAK, " ", p) for p in re.split(licenses.PARAGRAPH, text)]
+    return {*re.split(licenses.SENTENCE, text), *(s for p in paragraphs for s in re.split(licenses.STOP, p)), *paragraphs, " ".join(paragraphs)}
+
+
 def test_cosines_match_brute_force(spark, docs, texts):
-    st = None
     n, df = len(texts), collections.Counter()
-    vocabulary = {t for _, s in licenses.TEMPLATES for t in licenses._terms(s)}
+    vocabulary = {t for _, _, s in licenses.TEMPLATES for t in licenses._terms(s)}
     for t in texts.values():
         df.update(vocabulary & set(licenses._terms(t or "")))
     st = licenses.Statements(df, n, 0.7)
     templates = collections.defaultdict(dict)
-    for k, name, t, x in st.rows:
+    for k, name, t, x, _ in st.rows:
         templates[k, name][t] = x
     want = {}
     for i, text in texts.items():
         best = None
-        for s in re.split(licenses.SENTENCE, text or ""):
+        for s in plain_units(text or ""):
             tf = collections.Counter(licenses._terms(s))
             v = {t: c * st.idf.get(t, st.unseen) for t, c in tf.items()}
             norm = math.sqrt(sum(x * x for x in v.values()))
-            for (_, name), w in templates.items():
+            for (k, name), w in templates.items():
                 cos = round(sum(v.get(t, 0) * x for t, x in w.items()) / norm, 6) if norm else 0
-                if cos >= 0.7:
+                if cos >= 0.7 and set(licenses._terms(licenses.TEMPLATES[k][1])) <= v.keys():
                     best = min(best or (-cos, name), (-cos, name))
         want[i] = best and best[1]
     files = docs.select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
     got = {r.doc_id: r.license for r in licenses.scan(files).collect()}
-    assert got == want
+    assert got == want and any(want.values())
 
 
 # ---- personal data

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import folded, materialize
+from .common import folded, materialize, unused
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = 256, counters: int = 8192) -> DataFrame:
@@ -49,10 +49,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns; of repeated rows one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_digest"))
-    own = docs.withColumns({"_digest": F.unhex(F.sha2(folded(F.col(text_col)), 256)), "_key": F.col(id_col).cast("long")})
-    stays = own.join(kept.hint("shuffle_hash"), (own["_key"].eqNullSafe(kept["_id"])) & (own["_digest"] == kept["_digest"]), "left_semi")
-    return stays.dropDuplicates(["_key", "_digest"]).drop("_digest", "_key")
+    key, digest = unused(docs, "key"), unused(docs, "digest")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("stay_id"), F.unhex("text_sha256").alias("stay_digest"))
+    own = docs.withColumns({digest: F.unhex(F.sha2(folded(F.col(text_col)), 256)), key: F.col(id_col).cast("long")})
+    stays = own.join(kept.hint("shuffle_hash"), (own[key].eqNullSafe(kept["stay_id"])) & (own[digest] == kept["stay_digest"]), "left_semi")
+    return stays.dropDuplicates([key, digest]).drop(digest, key)
 
 
 def op7_exact_dedup(spark, sf_dir):

@@ -61,6 +61,8 @@ def test_exact_dedup_cases(odd, empty):
     assert len(same) == 5 and {r.keep_id for r in same} == {5}
     assert {r.keep_id for r in by[hashlib.sha256(b"").hexdigest()]} == {10}
     assert exact_dedup.exact_dedup(empty).count() == 0 and exact_dedup.keep_one(empty).count() == 0
+    clash = odd.withColumns({c: F.lit("x") for c in ("key", "Digest", "_key", "_digest", "_id", "stay_id", "doc_id_")})
+    assert exact_dedup.keep_one(clash).columns == clash.columns and exact_dedup.keep_one(clash).count() == len(by)
     kept = exact_dedup.keep_one(odd)
     assert kept.columns == odd.columns and kept.count() == len(by)
 
@@ -445,6 +447,30 @@ def test_targets_are_met(spark):
     assert p["a"] / sum(p.values()) == pytest.approx(0.5, abs=0.01)
 
 
+def test_raking_settles(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"s{a}", f"l{b}", f"t{c}", int(rng.integers(1, 500))) for a in range(6) for b in range(3) for c in range(4) if rng.random() < 0.7]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n long")
+    got = {(r.source, r.lang, r.topic): r.w for r in mixing.rake(cells, strict=True, temper=0.5).collect()}
+    w = {r[:3]: float(r[3]) for r in rows}
+    total, share = sum(w.values()), []
+    for m in range(3):
+        n = collections.Counter()
+        for r in rows:
+            n[r[m]] += r[3]
+        share.append({k: v**0.5 / sum(x**0.5 for x in n.values()) for k, v in n.items()})
+    for _ in range(200):
+        for m in range(3):
+            now = collections.Counter()
+            for k, x in w.items():
+                now[k[m]] += x
+            w = {k: x * share[m][k[m]] * total / now[k[m]] for k, x in w.items()}
+    assert got == pytest.approx(w, rel=1e-8)
+    apart = spark.createDataFrame([("a", "x", "t", 1), ("b", "y", "t", 1)], "source string, lang string, topic string, n long")
+    with pytest.raises(RuntimeError):
+        mixing.rake(apart, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}}, rounds=3, strict=True)
+
+
 def test_mixing_cases(odd, empty):
     got = mixing.mix(odd)
     assert got.count() == odd.count() and got.where("lang = '(none)'").count() > 0

@@ -667,6 +667,43 @@ def test_patterns_find_unseen_identifiers(spark):
     assert got[100].spans == "id:17:37" and got[100].n_email == 0 and got[101].spans == ""
 
 
+def test_secrets_lead_to_unseen_ones(spark):
+    rng = np.random.default_rng(16)
+    code = lambda n, of: "".join(rng.choice(list(of), n - 1)) + "7"
+    rows = [(i, f"word {i % 7} some password={code(20, '0123456789abcdef')} and more") for i in range(40)]
+    rows += [(50, f"then ABCD{code(16, 'ABCDEFGHIJ0123456789')} came"), (51, 'the token: "abc123def456" is'), (52, "in 1999 there were 22.5 of 31 birds, 7th"), (53, "password= none at all")]
+    got = {r.doc_id: (r.spans, r.n_id, r.n_spans) for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    start = len("word 0 some password=")
+    assert got[0] == (f"id:{start}:{start + 20}", 1, 1) and got[50] == ("id:5:25", 1, 1) and got[51] == ("id:12:24", 1, 1) and got[52] == got[53] == ("", 0, 0)
+
+
+def test_pattern_scores_match_brute_force(spark):
+    rng = np.random.default_rng(17)
+    values = [f"v{k}" if k % 5 else f"value{k:04d}" for k in range(120)]
+    seeds = {v for v in values if len(v) > 6 and rng.random() < 0.5}
+    rows = [(v, v in seeds, [f"p{rng.integers(6) + 6 * (len(v) < 6)}" for _ in range(rng.integers(0, 3))]) for v in values for _ in range(2)]
+    # a value is a seed if any of its places is
+    rows.append(("value0000", True, ["p1"]))
+    seeds.add("value0000")
+    patterns = collections.defaultdict(set)
+    for v, _, ps in rows:
+        patterns[v] |= set(ps)
+    score = {v: float(v in seeds) for v in patterns}
+    for _ in range(3):
+        conf = {}
+        for p in {p for ps in patterns.values() for p in ps}:
+            inside = [v for v in patterns if p in patterns[v]]
+            pos = sum(score[v] for v in inside)
+            neg = sum(1.0 if len(v) < 6 and v not in seeds else 0.05 * (1 - score[v]) for v in inside)
+            conf[p] = pos / (pos + neg + 1)
+        for v in patterns:
+            miss = math.prod([1 - conf[p] for p in patterns[v] if conf[p] >= 0.8])
+            score[v] = 1.0 if v in seeds else 0.0 if len(v) < 6 else 1 - miss
+    want = {v: x for v, x in score.items() if x >= 0.8 and v not in seeds}
+    got = pii.bootstrap(spark.createDataFrame(rows, "value string, seed boolean, patterns array<string>")).collect()
+    assert want and {r.value: r.score for r in got} == pytest.approx(want)
+
+
 def test_pii_cases(odd, empty):
     assert pii.find(odd).count() == odd.count() and pii.find(empty).count() == 0
 

@@ -310,10 +310,28 @@ def settle(rows: DataFrame, make: Callable, weight: str | None = None) -> DataFr
 # -------------------------------------------------------------------- links
 
 
-def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Verified links (a < b) among rows of equal key, sorted by key, and the rows (key, fp) of buckets beyond ``BLOCK_ROWS``.
+def _spanning(both: np.ndarray) -> np.ndarray:
+    """As few of the links as connect what all of them connect: a dense cluster has no more of them than members."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    keep = []
+    for k, (a, b) in enumerate(both.tolist()):
+        a, b = find(a), find(b)
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            keep.append(k)
+    return both[keep]
 
-    All pairs of small buckets are looked at, others are walked.
+
+def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Verified links (a < b) that connect all that rows of equal key connect, and the rows (key, fp) of buckets beyond
+    ``BLOCK_ROWS``. Rows are sorted by key. All pairs of small buckets are looked at, others are walked.
     """
     n = len(keys)
     cut = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
@@ -331,7 +349,7 @@ def bucket_links(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarr
         out.append(np.array([*_walk(own, Prints(own, bits))], np.int64).reshape(-1, 2).view(np.uint64))
     both = np.concatenate(out).view(np.int64)
     both.sort(axis=1)
-    return np.unique(both[both[:, 0] != both[:, 1]], axis=0), np.stack([keys[wide], fps[wide].view(np.int64)], 1)
+    return _spanning(np.unique(both[both[:, 0] != both[:, 1]], axis=0)), np.stack([keys[wide], fps[wide].view(np.int64)], 1)
 
 
 def links(nodes: DataFrame, max_bits: int = 4) -> DataFrame:

@@ -32,6 +32,7 @@ from .common import documents, prepare
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORDS_KEPT = 250_000
 JOINS_KEPT = 300_000
+TOGETHER = 1 << 20
 
 
 def byte_symbols() -> list[str]:
@@ -163,8 +164,16 @@ class TrieBPE:
     # -- texts
 
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, int]]:
-        """Ids of each text as little-endian 32-bit integers, and their number."""
-        return [(ids, len(ids) // 4) for ids in map(b"".join, self._encoded(texts))]
+        """Ids of each text as little-endian 32-bit integers, and their number. Texts are walked together up to ``TOGETHER`` characters."""
+        out, part, size = [], [], 0
+        for t in texts:
+            part.append(t)
+            size += len(t or "")
+            if size >= TOGETHER:
+                out += map(b"".join, self._encoded(part))
+                part, size = [], 0
+        out += map(b"".join, self._encoded(part))
+        return [(ids, len(ids) // 4) for ids in out]
 
     def _encoded(self, texts):
         split = []

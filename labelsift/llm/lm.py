@@ -1,337 +1,352 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
-Contexts of one and two words are candidates when they make up at least ``context_share`` of the training tokens. A
-context stays when the divergence of its next-symbol distribution from its parent's (the context without its oldest
-word), summed over its tokens, outweighs half a logarithm of N for each distribution entry; a state whose parent is not
-kept falls back to the nearest shorter one. Next-symbol distributions are absolutely discounted and fall back, normalised, to the parent and in the
-end to the smoothed word distribution (c + 0.1) / (N + 0.1 (V + 1)). A text's tokens are scored in the longest state of
-the tree that is a suffix of what stands before.
-
-Shares, not counts, bound the model (at most 1/share words, contexts or entries for each length), so what is broadcast
-does not grow with the corpus; the counts cover every training token and take ordinary shuffles. Words below
-``word_share`` are never broadcast: their tokens meet their counts in a shuffle on the word's 64-bit hash.
+Contexts of one to ``depth`` words (at most three) are candidates when training texts hold them ``context_min`` times. A
+context stays as a state when the divergence of its next-symbol distribution from its parent's (the context without its
+oldest word), summed over its tokens, outweighs half a logarithm of N for each distribution entry; entries are next words
+seen ``entry_min`` times there. A state whose parent is not kept falls back to the nearest shorter one. Next-symbol
+distributions are absolutely discounted and fall back, normalised, to the parent and in the end to the smoothed word
+distribution (c + 0.1) / (N + 0.1 (V + 1)). A text's tokens are scored in the longest state of the tree that is a suffix of
+what stands before; contexts do not reach across texts.
+
+The minimum counts are fixed, so the tree grows with the corpus. Counts cover every training token and take ordinary
+shuffles; divergences are tested on the executors, context by context. Candidates and states are broadcast in slices of at
+most ``SLICE`` rows, by a hash of a context's newest word: all states of a token are in one slice, and a larger tree takes
+more passes over the texts, with the same result. Words beyond the ``HEAD`` most frequent are not broadcast:
+their tokens meet their counts in a shuffle. Words and contexts are identified by 64-bit hashes.
 
 Defined results: null text is the empty text (one end token); a document with a null id is held out; repeated rows are
-scored, and counted, once each; an empty table gives an empty result; with no training text every count is zero.
+scored, and counted, once each; an empty table gives an empty result; with no training text every count is zero; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-from functools import lru_cache
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, prepare
+from .common import documents, materialize, parallelism, prepare
+from .tokens import Index, hashed_words, mixed
 
-ALPHA = 0.1
+ALPHA, DISCOUNT = 0.1, 0.5
 END = b"\n"  # no word holds white space
-_SHIFT = np.int64(20)  # head words have ids below 2^20
+END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
+#: Rows of states, entries or candidate contexts that are broadcast at once; words whose counts are.
+SLICE, HEAD = 1 << 22, 1 << 21
+#: Pairs that a task holds at once, about.
+PAIRS = 1 << 20
+_A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def extended(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a context with one more, newer, word. The empty context's key is 0."""
+    return mixed(context * _A + word)
+
+
+def entry_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mixed(context * _B ^ word)
 
 
 @dataclass
 class Tree:
-    """Base distribution of the head words and the states; all arrays, sorted by key."""
+    """Head words' counts, and by context length the states (log10 of the weight that goes to the parent) and entries (log10 of
+    the probability against that of the word without context); all sorted by unsigned key."""
 
-    words: list[bytes]
-    counts: np.ndarray
     total: int
     types: int
-    gamma: list[dict]  # by context length - 1: context key -> log10 of the weight that goes to the parent
-    keys: list[np.ndarray]  # by context length - 1: context key * 2^20 + word
-    logs: list[np.ndarray]
+    words: Index
+    counts: np.ndarray
+    states: list[tuple[Index, np.ndarray]] = field(default_factory=list)
+    entries: list[tuple[Index, np.ndarray]] = field(default_factory=list)
 
     @property
     def norm(self) -> float:
         return self.total + ALPHA * (self.types + 1)
 
-    def base(self) -> np.ndarray:
-        return np.log10((self.counts + ALPHA) / self.norm)
-
-
-def _hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words)).view(np.int64)
+    def base(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of the smoothed probability of head words (0 for others), and which are head words."""
+        at, known = self.words.find(words)
+        return np.where(known, np.log10(((self.counts[at] if len(self.counts) else 0) + ALPHA) / self.norm), 0.0), known
+
+    def log_gain(self, contexts: list[np.ndarray], words: np.ndarray) -> np.ndarray:
+        """log10 of P(word | longest state among ``contexts``, the shortest first) against P(word) without context.
+
+        A context key that no state has, such as 0, stands for none.
+        """
+        out = np.zeros(len(words))
+        for keys, (states, gamma), (entries, logs) in zip(contexts, self.states, self.entries, strict=False):
+            at, on = states.find(keys)
+            out[on] += gamma[at[on]] if len(states) else 0.0
+            on = np.flatnonzero(on)
+            at, hit = entries.find(entry_key(keys[on], words[on]))
+            out[on[hit]] = logs[at[hit]] if len(entries) else 0.0
+        return out
 
 
-def _tokens(text: bytes | None) -> list[bytes]:
-    out = (text or b"").lower().split()
-    out.append(END)
+def _tokens(column) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all tokens, tokens by row) of a column of texts; each row ends with the end token."""
+    words, sizes = hashed_words(column)
+    ends = np.cumsum(sizes + 1) - 1
+    out = np.empty(len(words) + len(sizes), np.uint64)
+    out[ends] = END_HASH
+    inside = np.ones(len(out), bool)
+    inside[ends] = False
+    out[inside] = words
+    return out, sizes + 1
+
+
+def contexts_of(words: np.ndarray, depth: int) -> list[np.ndarray]:
+    """By length, the key of the context before each token; 0 where it would reach across an end token."""
+    out, last = [], np.zeros(len(words), np.uint64)
+    inside = np.zeros(len(words), bool)
+    inside[1:] = words[:-1] != END_HASH
+    valid = inside
+    for k in range(depth):
+        key = np.zeros(len(words), np.uint64)
+        key[1:] = extended(last[:-1], words[:-1])
+        if k:
+            before = np.zeros(len(words), bool)
+            before[1:] = valid[:-1]
+            valid = inside & before
+        key[~valid] = 0
+        out.append(key)
+        last = key
     return out
 
 
-def _train_rows(docs: DataFrame) -> DataFrame:
-    """_id, _text, _held: crc32 of the id as text decides."""
-    return docs.select("_id", "_text", F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 10 == 0, F.lit(True)).alias("_held"))
+def _signed(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
 
 
-def _word_counts(train: DataFrame, flush: int = 400_000) -> DataFrame:
-    def run(batches):
-        seen: dict[bytes, int] = {}
+def _unsigned(column) -> np.ndarray:
+    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
 
-        from collections import Counter
+def _counted(context: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """Distinct pairs and their numbers."""
+    _, first, n = np.unique(entry_key(context, word), return_index=True, return_counts=True)
+    alike = np.argsort(context[first], kind="stable")  # packs well
+    first, n = first[alike], n[alike]
+    return pa.RecordBatch.from_arrays([_signed(context[first]), _signed(word[first]), pa.array(n.astype(np.int64))], ["context", "word", "n"])
 
-        seen = Counter()
-        for b in batches:
-            for t in b.column(0).cast(pa.binary()).to_pylist():
-                seen.update(_tokens(t))
-                if len(seen) > flush:
-                    yield out()
-                    seen.clear()
-        if seen:
-            yield out()
-
-    rows = train.select("_text").mapInArrow(run, "word binary, n long")
-    return rows.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-class _Codes:
-    """Texts as arrays of head-word ids, -1 for others."""
-
-    def __init__(self, words: list[bytes]):
-        self.at = {w: i for i, w in enumerate(words)}
 
-    def __call__(self, tokens: list[bytes]) -> np.ndarray:
-        get = self.at.get
-        return np.fromiter((get(t, -1) for t in tokens), np.int64, len(tokens))
+def word_counts(train: DataFrame) -> DataFrame:
+    """(word, n) over all tokens, end tokens included."""
 
-
-@lru_cache(2)
-def _shared(blob) -> tuple[Tree, _Codes]:
-    tree = blob.value
-    return tree, _Codes(tree.words)
-
-
-def _end(tree: Tree) -> int:
-    """Id of the end token, -2 if it is no head word: then unknown words part the texts."""
-    kept = tree.__dict__
-    if "_end" not in kept:
-        kept["_end"] = tree.words.index(END) if END in tree.words else -2
-    return kept["_end"]
+    def run(batches):
+        for b in batches:
+            word, n = np.unique(_tokens(b.column(0))[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n.astype(np.int64))], ["word", "n"])
+
+    return train.select("_text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def _sliced(contexts: DataFrame, slices: int, k: int) -> DataFrame:
+    return contexts if slices == 1 else contexts.where(F.pmod(F.xxhash64("last"), F.lit(slices)) == k)
+
+
+def next_counts(train: DataFrame, contexts: DataFrame, order: int, count: int) -> DataFrame:
+    """(context, word, n) over all training tokens for the ``count`` rows of ``contexts``, whose column context has keys of ``order`` words."""
+    slices = max(1, -(-count // SLICE))
+    found = None
+    for k in range(slices):
+        keys = np.sort(_arrow(_sliced(contexts, slices, k).select("context"))[0].view(np.uint64))
+        blob = train.sparkSession.sparkContext.broadcast(Index(keys))
+
+        def run(batches, blob=blob):
+            held, size = ([], []), 0
+            for b in batches:
+                w, _ = _tokens(b.column(0))
+                c = contexts_of(w, order)[-1]
+                on = np.flatnonzero(c)
+                on = on[blob.value.find(c[on])[1]]
+                held[0].append(c[on])
+                held[1].append(w[on])
+                size += len(on)
+                if size > PAIRS:
+                    yield _counted(*map(np.concatenate, held))
+                    held, size = ([], []), 0
+            if size:
+                yield _counted(*map(np.concatenate, held))
+
+        rows = train.select("_text").mapInArrow(run, "context long, word long, n long")
+        part = materialize(rows.groupBy("context", "word").agg(F.sum("n").alias("n")), "contexts")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
+def _arrow(df: DataFrame) -> list[np.ndarray]:
+    t = df.toArrow()
+    return [c.to_numpy() if t.num_rows else np.empty(0, np.int64) for c in t.columns]
 
 
-def _context_ids(tree: Tree, ids: np.ndarray, order: int) -> np.ndarray:
-    """Key of the ``order`` words before each token, -1 where there are fewer or one isn't a head word or ends a text."""
-    end = _end(tree)
-    out = np.full(len(ids), -1, np.int64)
-    if order == 1:
-        out[1:] = np.where(ids[:-1] == end, -1, ids[:-1])
-        return out
-    one = _context_ids(tree, ids, 1)
-    if len(ids) > 2:
-        a, b = one[1:-1], one[2:]
-        out[2:] = np.where((a >= 0) & (b >= 0), a << _SHIFT | b, -1)
-    return out
+def divergent(entries: DataFrame, order: int, blob) -> DataFrame:
+    """(last, context, gamma, word, gain) of the states among the contexts of ``entries`` (context, parent, last, total, word, n, c).
 
+    Sorted by context within a partition; a context is tested when its last entry has come.
+    """
 
-def _next_counts(train: DataFrame, blob, order: int, contexts, flush: int = 1 << 21) -> DataFrame:
-    """(context, word, n) for the allowed contexts (sorted keys, broadcast), over all training tokens."""
+    def test(context, parent, last, total, word, n, c, tree):
+        base = np.log10((c + ALPHA) / tree.norm)
+        above = [last] if order == 2 else [last, parent] if order == 3 else []
+        below = 10.0 ** (base + tree.log_gain([x.view(np.uint64) for x in above], word.view(np.uint64)))
+        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+        size = np.diff(np.r_[first, len(context)])
+        add = lambda v: np.add.reduceat(v, first)
+        left = 1 - add(n - DISCOUNT) / total[first]
+        p = (n - DISCOUNT) / total + np.repeat(left, size) * below
+        gain = add(n * np.log(p / below)) + (total[first] - add(n)) * np.log(left)
+        on = np.repeat(gain > 0.5 * (size + 1) * np.log(max(tree.total, 2)), size)
+        return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (last, context, np.repeat(np.log10(left), size), word, np.log10(p) - base)], ["last", "context", "gamma", "word", "gain"])
 
     def run(batches):
-        tree, codes = _shared(blob)
-        allowed = contexts.value
-        pend: list[np.ndarray] = []
-        held = 0
-
-        def out():
-            pair = np.concatenate(pend)
-            pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))] if order > 1 else pair
-            if order == 1:
-                key, n = np.unique(pair[:, 0] << _SHIFT | pair[:, 1], return_counts=True)
-                c, w = key >> _SHIFT, key & ((1 << 20) - 1)
-            else:
-                new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]).any(1)])
-                n = np.diff(np.r_[new, len(pair)])
-                c, w = pair[new, 0], pair[new, 1]
-            return pa.RecordBatch.from_arrays([pa.array(c), pa.array(w), pa.array(n.astype(np.int64))], ["context", "word", "n"])
-
+        held = None
         for b in batches:
-            ids = codes([w for t in b.column(0).cast(pa.binary()).to_pylist() for w in _tokens(t)])  # end tokens part the texts
-            c = _context_ids(tree, ids, order)
-            k = c >= 0
-            if order > 1:
-                i = np.searchsorted(allowed, c)
-                k &= allowed[np.minimum(i, len(allowed) - 1)] == c
-            else:
-                k &= np.r_[allowed, False][c]
-            pend.append(np.stack([c[k], np.where(ids[k] < 0, (1 << 20) - 1, ids[k])], 1))
-            held += len(pend[-1])
-            if held > flush:
-                yield out()
-                pend, held = [], 0
-        if held:
-            yield out()
-
-    return train.select("_text").mapInArrow(run, "context long, word long, n long").groupBy("context", "word").agg(F.sum("n").alias("n"))
-
-
-def _grow(tree: Tree, order: int, entries: np.ndarray, totals: dict) -> None:
-    """Add the contexts of one length whose divergence from the parent pays for their entries."""
-    parent = lambda c: c & ((1 << 20) - 1) if order > 1 else -1
-    entries = entries[np.lexsort((entries[:, 1], entries[:, 0]))]
-    gamma, keys, logs = {}, [], []
-    base = tree.base()
-    new = np.flatnonzero(np.r_[True, entries[1:, 0] != entries[:-1, 0]]) if len(entries) else np.empty(0, np.int64)
-    for i, j in zip(new, np.r_[new[1:], len(entries)], strict=True):
-        c = int(entries[i, 0])
-        total = totals[c]
-        w = entries[i:j, 1]
-        n = entries[i:j, 2].astype(float)
-        below = 10.0 ** (log_next(tree, order - 1, np.full(len(w), parent(c)), w, base[w]))
-        discount = 0.5
-        left = 1 - (n - discount).sum() / total
-        p = (n - discount) / total + left * below
-        gain = (n * np.log(p / below)).sum() + (total - n.sum()) * math.log(left)
-        if gain > 0.5 * (len(w) + 1) * math.log(max(tree.total, 2)):
-            gamma[c] = math.log10(left)
-            keys.append(np.int64(c) * (1 << 20) + w if order == 1 else np.stack([np.full(len(w), c), w], 1))
-            logs.append(np.log10(p))
-    if order == 1:
-        k = np.concatenate(keys) if keys else np.empty(0, np.int64)
-    else:  # states of two words are numbered, so that a key stays below 2^63
-        names = {c: m for m, c in enumerate(gamma)}
-        k = np.concatenate([names[int(x[0, 0])] * (1 << 20) + x[:, 1] for x in keys]) if keys else np.empty(0, np.int64)
-    v = np.concatenate(logs) if logs else np.empty(0)
-    s = np.argsort(k)
-    tree.gamma.append(gamma)
-    tree.keys.append(k[s])
-    tree.logs.append(v[s])
-
-
-def _states(tree: Tree, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context keys in order, their log weights and their numbers in entry keys; worked out once for each tree."""
-    kept = tree.__dict__.setdefault("_kept", {})
-    if order not in kept:
-        g = tree.gamma[order - 1]
-        k = np.array(sorted(g), np.int64)
-        names = {c: m for m, c in enumerate(g)}
-        kept[order] = k, np.array([g[x] for x in k.tolist()]), (np.array([names[x] for x in k.tolist()], np.int64) if order > 1 else k)
-    return kept[order]
-
-
-def log_next(tree: Tree, order: int, context: np.ndarray, word: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """log10 P(word | longest state that is a suffix of ``context``); word -1 is none of the head words, ``base`` its own."""
-    if order == 0:
-        return base
-    k, g, numbers = _states(tree, order)
-    out = log_next(tree, order - 1, context & ((1 << 20) - 1) if order > 1 else context, word, base)
-    if not len(k):
-        return out
-    at = np.minimum(np.searchsorted(k, context), len(k) - 1)
-    on = np.flatnonzero(k[at] == context)
-    out = out.copy()
-    out[on] += g[at[on]]
-    t = tree.keys[order - 1]
-    if len(t):
-        on = on[word[on] >= 0]
-        key = numbers[at[on]] * (1 << 20) + word[on]
-        i = np.minimum(np.searchsorted(t, key), len(t) - 1)
-        hit = t[i] == key
-        out[on[hit]] = tree.logs[order - 1][i[hit]]
-    return out
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last context may go on
+            if done:
+                yield test(*(x[:done] for x in held), blob.value)
+                held = [x[done:] for x in held]
+        if held is not None and len(held[0]):
+            yield test(*held, blob.value)
 
+    columns = ["context", "parent", "last", "total", "word", "n", "c"]
+    n = parallelism(entries.sparkSession)
+    dealt = entries.select(columns).repartition(n, "context").sortWithinPartitions("context", "word")
+    return dealt.mapInArrow(run, "last long, context long, gamma double, word long, gain double")
 
-def _columns(df: DataFrame) -> np.ndarray:
-    t = df.toArrow()
-    return np.stack([c.to_numpy() for c in t.columns], 1) if t.num_rows else np.empty((0, t.num_columns), np.int64)
 
+class Model:
+    """Tables of a trained tree, in the shared folder: all words' counts, and by context length the states' entries."""
+
+    def __init__(self, tree: Tree, counts: DataFrame, head_min: int):
+        self.tree, self.counts, self.head_min = tree, counts, head_min
+        self.tables: list[DataFrame] = []
 
-def train_tree(train: DataFrame, word_share: float = 1e-6, context_share: float = 1e-5, entry_share: float = 1e-6, depth: int = 2) -> tuple[Tree, DataFrame]:
-    """The tree, and the counts of all words by hash for those outside it. ``train`` has _text."""
+    @property
+    def rows(self) -> int:
+        return sum(t.count() for t in self.tables)
+
+    def trees(self):
+        """The tree in slices: (number of slices, this one, tree)."""
+        slices = max(1, -(-self.rows // SLICE))
+        for k in range(slices):
+            tree = Tree(self.tree.total, self.tree.types, self.tree.words, self.tree.counts)
+            for t in self.tables:
+                context, gamma, word, gain = _arrow(_sliced(t, slices, k).select("context", "gamma", "word", "gain"))
+                keys, first = np.unique(context.view(np.uint64), return_index=True)
+                entries = entry_key(context.view(np.uint64), word.view(np.uint64))
+                order = np.argsort(entries)
+                tree.states.append((Index(keys), gamma[first]))
+                tree.entries.append((Index(entries[order]), gain[order]))
+            yield slices, k, tree
+
+
+def train_model(train: DataFrame, depth: int = 3, context_min: int = 128, entry_min: int = 16) -> Model:
+    """``train`` has _text."""
+    if not 1 <= depth <= 3:
+        raise ValueError("contexts have one to three words")
     sc = train.sparkSession.sparkContext
-    counts = materialize(_word_counts(train), "words")
+    counts = materialize(word_counts(train), "words")
     total, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
-    head = counts.where(F.col("n") >= max(2, word_share * total)).orderBy(F.desc("n"), "word").toArrow().to_pylist() if total else []  # at most 1 / word_share rows
-    tree = Tree([r["word"] for r in head], np.array([r["n"] for r in head], np.int64), total, types, [], [], [])
-    floor = max(2, math.ceil(entry_share * total))
-    allowed = tree.counts >= max(2, context_share * total)
-    for order in range(1, depth + 1):
-        if not total or not len(allowed) or (order == 1 and not allowed.any()):
+    # the fewest tokens that a word of the head may have: a power of two, so that at most HEAD words are broadcast
+    sizes = counts.groupBy(F.floor(F.log2("n")).alias("b")).count().orderBy(F.desc("b")).collect()  # at most 63 rows
+    head_min, size = 1 << 62, 0
+    for r in sizes:
+        size += r["count"]
+        if size > HEAD:
             break
-        blob, contexts = sc.broadcast(tree), sc.broadcast(allowed)
-        pairs = materialize(_next_counts(train, blob, order, contexts), "contexts")
-        totals = {r.context: r.n for r in pairs.groupBy("context").agg(F.sum("n").alias("n")).collect()}  # allowed contexts: at most 1 / context_share
-        entries = _columns(pairs.where((F.col("n") >= floor) & (F.col("word") < (1 << 20) - 1)).select("context", "word", "n"))  # at most 1 / entry_share
-        _grow(tree, order, entries, totals)
-        end = _end(tree)
-        often = entries[(entries[:, 2] >= max(2, context_share * total)) & (entries[:, 1] != end)]
-        allowed = np.sort(often[:, 0] << _SHIFT | often[:, 1])
-        contexts.unpersist()
-        if order < depth and not len(allowed):
-            break
-    return tree, counts
-
+        head_min = 1 << r.b
+    word, n = _arrow(counts.where(F.col("n") >= head_min).select("word", "n"))
+    order = np.argsort(word.view(np.uint64))
+    model = Model(Tree(total, types, Index(word.view(np.uint64)[order]), n[order]), counts, head_min)
+    if not total:
+        return model
+
+    def grown(batches, first):
+        for b in batches:
+            context, parent, word = (_unsigned(c) for c in b.columns)
+            new = extended(context, word)
+            yield pa.RecordBatch.from_arrays([_signed(new), _signed(np.zeros(len(new), np.uint64) if first else extended(parent, word)), _signed(extended(np.zeros(len(new), np.uint64), word))], ["context", "parent", "last"])
 
-def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **shares) -> DataFrame:
+    schema = "context long, parent long, last long"
+    often = counts.where((F.col("n") >= context_min) & (F.col("word") != int(END_HASH.view(np.int64))))
+    contexts = materialize(often.select(F.lit(0).cast("long").alias("context"), F.lit(0).cast("long").alias("parent"), "word").mapInArrow(lambda b: grown(b, True), schema), "candidates")
+    for order in range(1, depth + 1):
+        count = contexts.count()
+        if not count:
+            break
+        pairs = next_counts(train, contexts, order, count)
+        totals = pairs.groupBy("context").agg(F.sum("n").alias("total")).join(contexts, "context")
+        entries = pairs.where(F.col("n") >= entry_min).join(totals, "context").join(counts.withColumnRenamed("n", "c"), "word")
+        entries = materialize(entries, "entries")
+        found, slices = None, 1
+        for slices, k, tree in model.trees():
+            part = materialize(divergent(_sliced(entries, slices, k), order, sc.broadcast(tree)), "states")
+            found = part if found is None else found.unionByName(part)
+        model.tables.append(found)
+        if order < depth:
+            often = pairs.where((F.col("n") >= context_min) & (F.col("word") != int(END_HASH.view(np.int64))))
+            contexts = materialize(often.join(contexts, "context").select("context", "parent", "word").mapInArrow(lambda b: grown(b, False), schema), "candidates")
+    return model
+
+
+def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; see the module."""
     spark = prepare(docs.sparkSession)
-    rows = _train_rows(docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")))
-    tree, counts = train_tree(rows.where(~F.col("_held")), **shares)
-    blob = spark.sparkContext.broadcast(tree)
-
-    def run(batches):
-        tree, codes = _shared(blob)
-        base = np.r_[tree.base(), 0.0]  # a word outside the head adds its own in the join
-        depth = len(tree.gamma)
-        row = TaskContext.get().partitionId() << 36
-        for b in batches:
-            tokens = [_tokens(t) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            n = np.array([len(t) for t in tokens], np.int64)
-            flat = [w for t in tokens for w in t]
-            ids = codes(flat)
-            p0 = base[ids]
-            p = np.array(log_next(tree, depth, _context_ids(tree, ids, depth), ids, p0))
-            if depth > 1:  # after one word only, or after an unknown one and a known, there is the shorter context
-                short = np.flatnonzero(_context_ids(tree, ids, depth) < 0)
-                p[short] = log_next(tree, 1, _context_ids(tree, ids, 1)[short], ids[short], p0[short])
-            ends = np.cumsum(n)
-            starts = ends - n
-            add = lambda v: np.add.reduceat(v, starts) if len(starts) else v
-            head, base_sum, score_sum = add((ids >= 0).astype(np.int64)), add(p0), add(p)
-            out = []
-            rare_at = np.flatnonzero(ids < 0)
-            rare_hash = _hash([flat[k] for k in rare_at.tolist()])
-            cut = np.searchsorted(rare_at, np.r_[starts, len(flat)])
-            for k, held in enumerate(b.column(2).to_pylist()):
-                rare, times = np.unique(rare_hash[cut[k] : cut[k + 1]], return_counts=True)
-                out.append((row, held, int(n[k]), int(head[k]), float(base_sum[k]), float(score_sum[k]), rare.tolist(), times.tolist()))
-                row += 1
-            cols = list(zip(*out, strict=True)) if out else [()] * 8
-            kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = ["_row", "held_out", "n_tokens", "_head", "_base", "_score", "_rare", "_times"]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *names])
-
-    schema = "doc_id long, _row long, held_out boolean, n_tokens long, _head long, _base double, _score double, _rare array<long>, _times array<long>"
-    scored = materialize(rows.mapInArrow(run, schema), "scored")
-
-    def count(batches):  # hashes of the words outside the head, which are counted already
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_hash([bytes(w) for w in b.column(0).to_pylist()])), b.column(1)], ["h", "c"])
-
-    floor = max(2, shares.get("word_share", 1e-6) * tree.total)
-    known = counts.where(F.col("n") < floor).mapInArrow(count, "h long, c long")
-    rare = scored.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("r")).select("_row", F.col("r._rare").alias("h"), F.col("r._times").alias("k"))
-    met = rare.join(known.hint("shuffle_hash"), "h", "left")
-    value = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / tree.norm)
+    held = F.coalesce(F.crc32(F.col("_id").cast("string").cast("binary")) % 10 == 0, F.lit(True))
+    rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_held", held)
+    model = train_model(rows.where(~F.col("_held")), **options)
+    rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    scored = more = None
+    for slices, k, tree in model.trees():
+        blob = spark.sparkContext.broadcast(tree)
+
+        def run(batches, blob=blob, slices=slices, k=k):
+            tree = blob.value
+            for b in batches:
+                w, sizes = _tokens(b.column(2))
+                if not len(sizes):
+                    continue
+                delta = tree.log_gain(contexts_of(w, len(tree.states)), w)
+                starts = np.cumsum(sizes) - sizes
+                add = lambda v: np.add.reduceat(v, starts)  # noqa: B023, E731
+                if k:
+                    yield pa.RecordBatch.from_arrays([b.column(3), pa.array(add(delta))], ["_row", "_delta"])
+                    continue
+                base, known = tree.base(w)
+                rare_at = np.flatnonzero(~known)
+                cut = np.searchsorted(rare_at, np.r_[starts, len(w)])
+                rare = pa.ListArray.from_arrays(pa.array(cut, pa.int32()), _signed(w[rare_at]))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), b.column(3), b.column(1), pa.array(sizes), pa.array(add(known.astype(np.int64))), pa.array(add(base)), pa.array(add(delta)), rare],
+                    ["doc_id", "_row", "held_out", "n_tokens", "_head", "_base", "_delta", "_rare"],
+                )
+
+        source = rows.select("_id", "_held", "_text", "_row")
+        if not k:
+            scored = materialize(source.mapInArrow(run, "doc_id long, _row long, held_out boolean, n_tokens long, _head long, _base double, _delta double, _rare array<long>"), "scored")
+        else:
+            part = materialize(source.mapInArrow(run, "_row long, _delta double"), "scored")
+            more = part if more is None else more.unionByName(part)
+    known = model.counts.where(F.col("n") < model.head_min).withColumnRenamed("n", "c")
+    rare = scored.select("_row", F.explode("_rare").alias("word")).groupBy("_row", "word").agg(F.count(F.lit(1)).alias("k"))
+    met = rare.join(known.hint("shuffle_hash"), "word", "left")
+    value = F.col("k") * F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / model.tree.norm)
     summed = met.groupBy("_row").agg(F.sum(value).alias("_rest"), F.sum(F.when(F.col("c").isNotNull(), F.col("k"))).alias("_met"))
-    return (
-        scored.drop("_rare", "_times").join(summed, "_row", "left")
-        .select(
-            "doc_id", "held_out", "n_tokens",
-            (F.col("_head") + F.coalesce("_met", F.lit(0))).cast("long").alias("n_known"),
-            F.lit(tree.total).cast("long").alias("train_tokens"),
-            (F.col("_base") + F.coalesce("_rest", F.lit(0.0))).alias("base_score"),
-            (F.col("_score") + F.coalesce("_rest", F.lit(0.0))).alias("score"),
-        )
+    out = scored.drop("_rare").join(summed, "_row", "left")
+    if more is not None:
+        out = out.join(more.groupBy("_row").agg(F.sum("_delta").alias("_more")), "_row").withColumn("_delta", F.col("_delta") + F.col("_more"))
+    base = F.col("_base") + F.coalesce("_rest", F.lit(0.0))
+    return out.select(
+        "doc_id", "held_out", "n_tokens", (F.col("_head") + F.coalesce("_met", F.lit(0))).cast("long").alias("n_known"), F.lit(model.tree.total).cast("long").alias("train_tokens"),
+        base.alias("base_score"), (base + F.col("_delta")).alias("score"),
     )
 
 

@@ -8,11 +8,12 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import differences
 from pyspark.sql import functions as F
 
-from labelsift.llm import ann, bpe, exact_dedup, html_text, licenses, lm, mixing, pii, simhash, toxicity
+from labelsift.llm import ann, bpe, exact_dedup, html_text, licenses, lm, mixing, pii, simhash, tokens, toxicity
 from labelsift.llm.queries import ORACLE_SQL, QUERIES
 
 LONG = "lorem ipsum dolor " * 3000
@@ -258,32 +259,124 @@ def test_verified_stage_recall_on_all_pairs(spark, docs, texts):
 # ---- language model
 
 
+def plain_tokens(text):
+    return [*(text or "").encode().lower().split(), b"\n"]
+
+
+@pytest.mark.parametrize("window", [8, 64, 1 << 20])
+def test_hashed_words(window, monkeypatch):
+    monkeypatch.setattr(tokens, "WINDOW", window)
+    tokens._powers.cache_clear()
+    rng = np.random.default_rng(20)
+    known = {}
+    for k in range(200):
+        texts = ["".join(rng.choice(list("ab AB\t\n é\xa0\x1c\x0b"), rng.integers(0, 30))) for _ in range(rng.integers(0, 6))] + [None, "x" * 1000 * (k % 2)]
+        h, n = tokens.hashed_words(pa.array(texts, pa.string()).slice(k % 2))
+        want = [(t or "").encode().lower().split() for t in texts[k % 2 :]]
+        assert n.tolist() == [len(w) for w in want]
+        assert all(known.setdefault(w, x) == x for w, x in zip([w for ws in want for w in ws], h.tolist(), strict=True))
+    assert len(set(known.values())) == len(known)
+    tokens._powers.cache_clear()
+
+
+def test_index_finds_what_is_there():
+    rng = np.random.default_rng(21)
+    keys = np.unique(np.r_[rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2), np.arange(50, dtype=np.uint64)])
+    wanted = np.r_[keys, rng.integers(0, 1 << 63, 500, dtype=np.uint64), np.uint64(60)]
+    at, hit = tokens.Index(keys[::2]).find(wanted)
+    assert (hit == np.isin(wanted, keys[::2])).all() and (keys[::2][at[hit]] == wanted[hit]).all()
+    assert not tokens.Index(keys[:0]).find(wanted)[1].any()
+
+
 def test_scores(docs, texts):
     got = lm.pst_score(docs).collect()
-    tokens = {i: lm._tokens((t or "").encode()) for i, t in texts.items()}
-    c = collections.Counter(w for i, ws in tokens.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
+    words_of = {i: plain_tokens(t) for i, t in texts.items()}
+    c = collections.Counter(w for i, ws in words_of.items() if zlib.crc32(str(i).encode()) % 10 for w in ws)
     n, v = sum(c.values()), len(c)
     for r in got:
-        ws = tokens[r.doc_id]
+        ws = words_of[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0, len(ws), sum(c[w] > 0 for w in ws), n)
         assert r.base_score == pytest.approx(sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), rel=1e-9)
-    held = [r for r in got if r.held_out]
+    held = [r for r in lm.pst_score(docs, context_min=16, entry_min=4).collect() if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_next_symbols_sum_to_one(spark):
-    rows = [(k, "a b c a b d a b c e") for k in range(60)] + [(100 + k, "b c b a") for k in range(40)]
-    df = spark.createDataFrame(rows, "_id long, _text string")
-    tree, _ = lm.train_tree(df)
-    assert len(tree.gamma) == 2 and tree.gamma[0] and tree.gamma[1]
-    base = tree.base()
-    everything = np.arange(len(base))
-    rest = 0.1 / tree.norm
-    for order in (1, 2):
-        for context in tree.gamma[order - 1]:
-            p = 10.0 ** lm.log_next(tree, order, np.full(len(base), context), everything, base)
-            unknown = 10.0 ** lm.log_next(tree, order, np.array([context]), np.array([-1]), np.log10(np.array([rest])))
-            assert p.sum() + unknown[0] == pytest.approx(1.0)
+def plain_tree(texts, depth, context_min, entry_min):
+    """Word counts and, by context (oldest word first), (left, {word: probability}) of the states; and P(word | context)."""
+    c, follow = collections.Counter(), [collections.defaultdict(collections.Counter) for _ in range(depth + 1)]
+    for ws in texts:
+        c.update(ws)
+        for i, w in enumerate(ws):
+            for k in range(1, min(i, depth) + 1):
+                follow[k][tuple(ws[i - k : i])][w] += 1
+    n, v, states = sum(c.values()), len(c), {}
+
+    def p(context, w):
+        for k in range(len(context) + 1):
+            if context[k:] in states or not context[k:]:
+                break
+        context = context[k:]
+        if not context:
+            return (c[w] + 0.1) / (n + 0.1 * (v + 1))
+        left, own = states[context]
+        return own[w] if w in own else left * p(context[1:], w)
+
+    frequent = {(w,) for w in c if c[w] >= context_min and w != b"\n"}
+    for k in range(1, depth + 1):
+        new = {}
+        for context in frequent:
+            nexts = follow[k][context]
+            total, own = sum(nexts.values()), {w: m for w, m in nexts.items() if m >= entry_min}
+            if not own:
+                continue
+            left = 1 - sum(m - 0.5 for m in own.values()) / total
+            prob = {w: (m - 0.5) / total + left * p(context[1:], w) for w, m in own.items()}
+            gain = sum(m * math.log(prob[w] / p(context[1:], w)) for w, m in own.items()) + (total - sum(own.values())) * math.log(left)
+            if gain > 0.5 * (len(own) + 1) * math.log(n):
+                new[context] = left, prob
+        frequent = {(*context, w) for context in frequent for w, m in follow[k][context].items() if m >= context_min and w != b"\n"}
+        states.update(new)
+    return c, states, p
+
+
+@pytest.mark.parametrize("depth, rows", [(3, 1 << 20), (2, 60)])
+def test_scores_match_a_plain_tree(spark, monkeypatch, depth, rows):
+    monkeypatch.setattr(lm, "SLICE", rows)
+    monkeypatch.setattr(lm, "HEAD", 12 if rows < 100 else 1 << 20)
+    rng = np.random.default_rng(18)
+    words = [f"w{k}" for k in range(12)]
+    rules = {tuple(rng.choice(words, n)): str(rng.choice(words)) for n in (1, 1, 1, 2, 2, 2, 2, 3, 3, 3, 3, 3) for _ in range(8)}
+    texts = {}
+    for i in range(800):
+        ws = [str(rng.choice(words))]
+        while len(ws) < 20:
+            told = [w for n in (3, 2, 1) if (w := rules.get(tuple(ws[-n:])))]
+            ws.append(told[0] if told and rng.random() < 0.8 else str(rng.choice(words)) if rng.random() < 0.9 else f"rare{rng.integers(900)}")
+        texts[i] = " ".join(ws)
+    words_of = {i: plain_tokens(t) for i, t in texts.items()}
+    train = [ws for i, ws in words_of.items() if zlib.crc32(str(i).encode()) % 10]
+    c, states, p = plain_tree(train, depth, 20, 4)
+    assert all(any(len(k) == d for k in states) for d in range(1, depth + 1))
+    got = lm.pst_score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), depth=depth, context_min=20, entry_min=4)
+    for r in got.collect():
+        ws = words_of[r.doc_id]
+        want = sum(math.log10(p(tuple(ws[max(0, k - depth) : k]), w)) for k, w in enumerate(ws))
+        assert r.score == pytest.approx(want, rel=1e-9) and r.n_known == sum(c[w] > 0 for w in ws)
+    held = lambda name: sum(r[name] for r in got.collect() if r.held_out)
+    assert held("score") > held("base_score")
+
+
+def test_next_symbols_sum_to_one():
+    rng = np.random.default_rng(19)
+    words = ["a", "b", "c", "d"]
+    c, states, p = plain_tree([[*rng.choice(words, 30, p=[0.6, 0.2, 0.1, 0.1]), "x", "a", "b"] for _ in range(50)], 2, 20, 4)
+    for context in [(), *states]:
+        assert sum(p(context, w) for w in [*c, "unknown"]) == pytest.approx(1.0)
+
+
+def test_depth_is_refused_beyond_three_words(odd):
+    with pytest.raises(ValueError):
+        lm.pst_score(odd, depth=4)
 
 
 def test_score_cases(odd, empty):

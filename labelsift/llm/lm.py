@@ -22,6 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, parallelism, prepare
-from .tokens import Index, hashed_words, mixed
+from .tokens import WINDOW, Index, hashed_words, mixed, parts
 
 ALPHA, DISCOUNT = 0.1, 0.5
 END = b"\n"  # no word holds white space
@@ -138,7 +139,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all tokens, end tokens included."""
 
     def run(batches):
-        for b in batches:
+        for b in chain.from_iterable(parts(b, 0, 4 * WINDOW) for b in batches):
             word, n = np.unique(_tokens(b.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n.astype(np.int64))], ["word", "n"])
 
@@ -159,7 +160,7 @@ def next_counts(train: DataFrame, contexts: DataFrame, order: int, count: int) -
 
         def run(batches, blob=blob):
             held, size = ([], []), 0
-            for b in batches:
+            for b in chain.from_iterable(parts(b, 0) for b in batches):
                 w, _ = _tokens(b.column(0))
                 c = contexts_of(w, order)[-1]
                 on = np.flatnonzero(c)
@@ -310,10 +311,8 @@ def pst_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
         def run(batches, blob=blob, slices=slices, k=k):
             tree = blob.value
-            for b in batches:
+            for b in chain.from_iterable(parts(b, 2) for b in batches):
                 w, sizes = _tokens(b.column(2))
-                if not len(sizes):
-                    continue
                 delta = tree.log_gain(contexts_of(w, len(tree.states)), w)
                 starts = np.cumsum(sizes) - sizes
                 add = lambda v: np.add.reduceat(v, starts)  # noqa: B023, E731

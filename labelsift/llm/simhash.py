@@ -28,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, parallelism, prepare, release
+from .tokens import hashed_words, mixed, parts
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the [23,12,7] Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -45,8 +47,8 @@ SMALL_BUCKET = 16
 BLOCK_ROWS, BLOCK_WEIGHT = 2048, 1 << 19
 #: Blocks of a large group whose representatives visit all blocks before the rest does.
 REPRESENTATIVES = 16
-#: For the verified stage: words taken with each anchor of a text (at least its shingle), distinct words a worker remembers.
-ANCHORS, WORD_CACHE = (0, 0, 16, 16), 1 << 16
+#: For the verified stage: words taken with each anchor of a text, at least its shingle.
+ANCHORS = (0, 0, 16, 16)
 #: At most so many ids are broadcast.
 BROADCAST_IDS = 1 << 20
 
@@ -452,27 +454,13 @@ def jaccard(a: set, b: set) -> float:
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = h ^ h >> np.uint64(31)
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ h >> np.uint64(29)
-
-
-def word_hashes(words: list[bytes], cache: dict[bytes, int]) -> np.ndarray:
-    if len(cache) > WORD_CACHE:
-        cache.clear()
-    for w in set(words).difference(cache):
-        cache[w] = xxhash.xxh64_intdigest(w, 42)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def shingle_hashes(v: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of the shingles of ``shingle_set``, in order of place, from hashes of the words."""
     k = min(width, len(v))
     h = np.zeros(len(v) - k + 1 if len(v) else 0, np.uint64)
     for i in range(k):
         h += v[i : i + len(h)] * np.uint64(pow(int(_ODD), i + 1, 1 << 64))
-    return _mixed(h)
+    return mixed(h)
 
 
 def word_print(v: np.ndarray) -> int:
@@ -488,23 +476,19 @@ def anchored_prints(v: np.ndarray, shingles: np.ndarray) -> list[int]:
         return [0] * (len(ANCHORS) + 1)
     out, width = [word_print(v)], len(v) - len(shingles) + 1
     for k, words in enumerate(ANCHORS):
-        at = int(_mixed(shingles * _ODD + np.uint64(7919 * k + 1)).argmin())
+        at = int(mixed(shingles * _ODD + np.uint64(7919 * k + 1)).argmin())
         more = max(0, words - width)
         out.append(word_print(v[max(0, at - more // 2) : at + width + more - more // 2]))
     return out
 
 
-def _each(batches, width: int) -> Iterator[tuple[list, list]]:
-    """Ids, and (word hashes, shingle hashes, sorted distinct shingle hashes, hash of these), of (id, text) batches."""
-    cache: dict[bytes, int] = {}
-    for b in batches:
-        found = []
-        for t in b.column(1).cast(pa.binary()).to_pylist():
-            v = word_hashes((t or b"").lower().split(), cache)
-            s = shingle_hashes(v, width)
-            u = np.unique(s)
-            found.append((v, s, u, xxhash.xxh64_intdigest(u.tobytes(), 7)))
-        yield b.column(0).to_pylist(), found
+def _each(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Word hashes, shingle hashes, sorted distinct shingle hashes and a hash of these, of each text."""
+    words, sizes = hashed_words(column)
+    for v in np.split(words, np.cumsum(sizes)[:-1]) if len(sizes) else ():
+        s = shingle_hashes(v, width)
+        u = np.unique(s)
+        yield v, s, u, xxhash.xxh64_intdigest(u.tobytes(), 7)
 
 
 def _longs(values) -> pa.Array:
@@ -543,9 +527,11 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     names = [f"p{k}" for k in range(len(ANCHORS) + 1)]
 
     def name(batches):
-        for ids, found in _each(batches, width):
-            prints = np.array([anchored_prints(v, s) for v, s, _, _ in found], np.int64).reshape(-1, len(names))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _longs([x for *_, x in found]), *(pa.array(prints[:, k]) for k in range(len(names)))], ["doc_id", "node", *names])
+        for b in chain.from_iterable(parts(b, 1) for b in batches):
+            found = [(x, *anchored_prints(v, s)) for v, s, _, x in _each(b.column(1), width)]
+            nodes = _longs([f[0] for f in found])
+            prints = np.array([f[1:] for f in found], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0), nodes, *(pa.array(prints[:, k]) for k in range(len(names)))], ["doc_id", "node", *names])
 
     rows = materialize(texts.mapInArrow(name, "doc_id long, node long, " + ", ".join(f"{p} long" for p in names)), "prints")
     first = materialize(rows.groupBy("node").agg(F.min(F.struct("doc_id", *names)).alias("m")).select("node", "m.*"), "nodes")
@@ -553,8 +539,9 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     active = materialize(groups.select("node").distinct().join(first, "node").select("node", "doc_id"), "active")
 
     def sets(batches):
-        for _, found in _each(batches, width):
-            yield pa.RecordBatch.from_arrays([_longs([x for *_, x in found]), pa.array([len(u) for _, _, u, _ in found], pa.int32()), pa.array([u.tobytes() for _, _, u, _ in found], pa.binary())], ["node", "n", "payload"])
+        for b in chain.from_iterable(parts(b, 1) for b in batches):
+            found = [(x, len(u), u.tobytes()) for _, _, u, x in _each(b.column(1), width)]
+            yield pa.RecordBatch.from_arrays([_longs([f[0] for f in found]), pa.array([f[1] for f in found], pa.int32()), pa.array([f[2] for f in found], pa.binary())], ["node", "n", "payload"])
 
     ids = active.select(F.col("doc_id").alias("_id"))
     chosen = texts.join(F.broadcast(ids) if active.count() <= BROADCAST_IDS else ids, "_id", "left_semi")

@@ -6,6 +6,7 @@ over mixed byte values modulo 2^64, taken from running sums and mixed with its l
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -84,6 +85,17 @@ def hashed_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes) if hashes else np.empty(0, np.uint64), np.diff(before[ends])
 
 
+def parts(batch: pa.RecordBatch, text: int, size: int = WINDOW) -> Iterator[pa.RecordBatch]:
+    """Runs of the batch's rows with about ``size`` bytes in column number ``text``; no run is empty."""
+    column = batch.column(text).cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    at = 0
+    while at < len(batch):
+        end = max(at + 1, int(np.searchsorted(ends, ends[at] + size, "right")) - 1)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 class Index:
     """Sorted distinct 64-bit keys, found by their leading bits."""
 
@@ -106,9 +118,9 @@ class Index:
             bits = min(24, max(1, len(self.keys).bit_length() + 1))
             self.shift = np.uint64(64 - bits)
             edges = np.arange(1 << bits, dtype=np.uint64) << self.shift
-            self.starts = np.r_[np.searchsorted(self.keys, edges), len(self.keys)].astype(np.int64)
+            self.starts = np.r_[np.searchsorted(self.keys, edges), len(self.keys)].astype(np.uint32)
         slot = (wanted >> self.shift).astype(np.int64)
-        at, end = self.starts[slot], self.starts[slot + 1]
+        at, end = self.starts[slot].astype(np.int64), self.starts[slot + 1].astype(np.int64)
         live = np.flatnonzero(at < end)
         while len(live):
             same = self.keys[at[live]] == wanted[live]

@@ -460,6 +460,32 @@ def test_ann_distances(spark, sf_dir):
     assert ann.search(aq, index, q, 3, metric="l2").count() == 3
 
 
+@pytest.mark.parametrize("metric", ["ip", "l2"])
+def test_blocks_that_are_left_out_hold_nothing_nearer(spark, metric):
+    """With everything of a block reranked the search is exact, so any loss would come from a block left out."""
+    rng = np.random.default_rng(22)
+    centres = rng.normal(size=(12, 8)) * 4
+    x = centres[rng.integers(0, 12, 900)] + rng.normal(size=(900, 8)) * 0.3
+    t = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)], "vec_id long, embedding array<double>, cell int")
+    coder, index = ann.build_index(t, levels=4, block_rows=40)
+    q = ann.valid_vectors(t, "vec_id", "embedding").where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    assert index.count() > 12 and coder.kind == "float64"
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.search(coder, index, q, 7, metric=metric).collect()}
+    for i in range(0, 900, 20):
+        s = x @ x[i] if metric == "ip" else np.sqrt(((x - x[i]) ** 2).sum(1))
+        order = [j for j in np.lexsort((np.arange(900), -s if metric == "ip" else s)) if j != i][:7]
+        assert [got[i, k + 1][0] for k in range(7)] == order
+        assert [got[i, k + 1][1] for k in range(7)] == pytest.approx(s[order], abs=1e-12)
+
+
+def test_ann_measures_doubles(spark):
+    t = spark.createDataFrame([(0, [1.0, 1e-10]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    coder, index = ann.build_index(t)
+    q = ann.valid_vectors(t, "vec_id", "embedding").where("vec_id = 0").withColumnRenamed("vec_id", "query_id")
+    assert ann.search(coder, index, q).first().score == 1.0000000001
+    assert ann.search(coder, index, q.limit(0)).count() == 0
+
+
 # ---- pages
 
 

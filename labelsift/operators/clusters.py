@@ -1,6 +1,6 @@
 """Cluster-partitioned and tree layouts: assignment, Lloyd steps, probes, IVF searches, short lists, tree searches.
 
-Centroids(cluster_id, centroid) are a table whose size the caller chose; up to ``BROADCAST_CENTROIDS`` of them are
+Centroids(cluster_id, centroid) are a table whose size the caller chose; up to ``BROADCAST_FLOATS`` numbers of them are
 broadcast. Approximate plans take explicit centroids, so the same layout gives the same answer on every run.
 """
 
@@ -13,19 +13,42 @@ from ..functions.vectors import doubles, l2sq, metric as metric_of
 from .search import top_k
 from .storage import cut
 
-BROADCAST_CENTROIDS = 65_536
+#: Numbers that a broadcast side may hold (32 MB as doubles).
+BROADCAST_FLOATS = 4_000_000
+
+
+def _fits(table: DataFrame) -> bool:
+    """Whether all centroids together are small enough to be broadcast."""
+    return (table.agg(F.sum(F.size("centroid") + F.lit(2))).first()[0] or 0) <= BROADCAST_FLOATS
 
 
 def _side(centroids: DataFrame) -> DataFrame:
-    few = centroids.limit(BROADCAST_CENTROIDS + 1).count() <= BROADCAST_CENTROIDS
-    return F.broadcast(centroids) if few else centroids
+    return F.broadcast(centroids) if _fits(centroids) else centroids
+
+
+def _all(centroids: DataFrame, *keys: str) -> DataFrame:
+    """One row, _all: the centroids as an array of structs."""
+    return F.broadcast(centroids.agg(F.array_sort(F.collect_list(F.struct(*keys, doubles("centroid").alias("centroid")))).alias("_all")))
+
+
+def _nearest(own: Column, key: str) -> Column:
+    """struct<d, key> of the nearest of an array of centroids; ties go to the smaller key."""
+    return F.array_min(F.transform(own, lambda c: F.struct(l2sq("embedding", c["centroid"]).alias("d"), c[key].alias(key))))
 
 
 def assign_clusters(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
-    """vectors with cluster_id and cluster_distance (squared); ties go to the smaller cluster. Map-side plus one aggregation."""
-    met = vectors.select("vec_id", "embedding").crossJoin(_side(centroids)).select("vec_id", F.struct(l2sq("embedding", "centroid").alias("d"), F.col("cluster_id").alias("c")).alias("m"))
-    near = met.groupBy("vec_id").agg(F.min("m").alias("m")).select("vec_id", F.col("m.c").alias("cluster_id"), F.col("m.d").alias("cluster_distance"))
-    return vectors.join(near, "vec_id")
+    """vectors with cluster_id and cluster_distance (squared); ties go to the smaller cluster.
+
+    Centroids that fit are one broadcast row, so vectors never move. Others meet the vectors row by row, and one
+    aggregation, combined map-side, finds the nearest.
+    """
+    if _fits(centroids):
+        met = vectors.crossJoin(_all(centroids, "cluster_id")).withColumn("_m", _nearest(F.col("_all"), "cluster_id")).where("_m is not null")
+        return met.withColumns({"cluster_id": F.col("_m.cluster_id"), "cluster_distance": F.col("_m.d")}).drop("_all", "_m")
+    met = vectors.withColumn("_row", F.monotonically_increasing_id()).crossJoin(centroids.select("cluster_id", "centroid"))
+    each = met.select("_row", F.struct(*vectors.columns).alias("_v"), F.struct(l2sq("embedding", "centroid").alias("d"), F.col("cluster_id")).alias("_m"))
+    near = each.groupBy("_row").agg(F.min("_m").alias("_m"), F.first("_v").alias("_v"))
+    return near.select("_v.*", F.col("_m.cluster_id"), F.col("_m.d").alias("cluster_distance"))
 
 
 def lloyd_step(assigned: DataFrame) -> DataFrame:
@@ -86,9 +109,79 @@ def ivf_label_probes(queries: DataFrame, assigned: DataFrame, access: DataFrame,
 def assign_tree(vectors: DataFrame, level1: DataFrame, level2: DataFrame) -> DataFrame:
     """vectors with n1, n2: greedy descent by the nearest child. level1(n1, centroid), level2(n1, n2, centroid)."""
     a = assign_clusters(vectors, level1.select(F.col("n1").alias("cluster_id"), "centroid")).withColumnRenamed("cluster_id", "n1").drop("cluster_distance")
-    met = a.select("vec_id", "embedding", "n1").join(F.broadcast(level2) if level2.limit(BROADCAST_CENTROIDS + 1).count() <= BROADCAST_CENTROIDS else level2, "n1")
-    near = met.groupBy("vec_id").agg(F.min(F.struct(l2sq("embedding", "centroid").alias("d"), F.col("n2"))).alias("m")).select("vec_id", F.col("m.n2").alias("n2"))
-    return a.join(near, "vec_id")
+    if _fits(level2):
+        own = F.filter("_all", lambda c: c["n1"] == F.col("n1"))
+        return a.crossJoin(_all(level2, "n1", "n2")).withColumn("_m", _nearest(own, "n2")).where("_m is not null").withColumn("n2", F.col("_m.n2")).drop("_all", "_m")
+    met = a.withColumn("_row", F.monotonically_increasing_id()).join(level2, "n1")
+    each = met.select("_row", F.struct(*a.columns).alias("_v"), F.struct(l2sq("embedding", "centroid").alias("d"), F.col("n2")).alias("_m"))
+    return each.groupBy("_row").agg(F.min("_m").alias("_m"), F.first("_v").alias("_v")).select("_v.*", F.col("_m.n2"))
+
+
+# ---- trees that grow where the vectors are
+
+
+def _in_node(vectors: DataFrame, nodes: DataFrame) -> DataFrame:
+    """vectors(path, ...) of the nodes' parents with the nearest child: path becomes the child's."""
+    if _fits(nodes):
+        own = F.filter("_all", lambda c: c["parent"] == F.col("path"))
+        met = vectors.crossJoin(_all(nodes, "parent", "child")).withColumn("_m", _nearest(own, "child"))
+        return met.withColumn("path", F.coalesce(F.concat_ws("/", F.nullif("path", F.lit("")), F.col("_m.child").cast("string")), F.col("path"))).drop("_all", "_m")
+    met = vectors.withColumn("_row", F.monotonically_increasing_id()).join(nodes, F.col("path") == F.col("parent"), "left")
+    each = met.select("_row", F.struct(*vectors.columns).alias("_v"), F.struct(l2sq("embedding", "centroid").alias("d"), F.col("child")).alias("_m"))
+    near = each.groupBy("_row").agg(F.min("_m").alias("_m"), F.first("_v").alias("_v")).select("_v.*", "_m")
+    path = F.when(F.col("_m.child").isNull(), F.col("path")).otherwise(F.concat_ws("/", F.nullif("path", F.lit("")), F.col("_m.child").cast("string")))
+    return near.withColumn("path", path).drop("_m")
+
+
+def train_tree(vectors: DataFrame, branch: int = 16, max_leaf: int = 128, depth: int = 9, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves) of a tree that splits every node of more than ``max_leaf`` vectors into ``branch`` children, level by level.
+
+    nodes(parent, child, centroid); leaves is ``vectors`` with path, the children from the root on, such as 3/0/2 (the root
+    is empty). All nodes of a level are split together: children start from the vectors of smallest id in the node and take
+    ``rounds`` of Lloyd's iterations. A node whose vectors are all alike is a leaf of any size.
+    """
+    leaves, nodes = cut(vectors.withColumn("path", F.lit(""))), None
+    for _ in range(depth):
+        wide = leaves.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.min("embedding").alias("a"), F.max("embedding").alias("b")).where((F.col("n") > max_leaf) & (F.col("a") < F.col("b")))
+        inside = leaves.join(wide.select("path"), "path", "left_semi")
+        seed = F.row_number().over(Window.partitionBy("path").orderBy("vec_id"))  # each partition keeps the first rows only
+        new = inside.select("path", "vec_id", "embedding").withColumn("child", seed).where(F.col("child") <= branch)
+        new = cut(new.select(F.col("path").alias("parent"), (F.col("child") - 1).alias("child"), doubles("embedding").alias("centroid")))
+        if new.isEmpty():
+            break
+        for _round in range(rounds):
+            placed = _in_node(inside.withColumn("_from", F.col("path")), new)
+            each = placed.select("_from", F.element_at(F.split("path", "/"), -1).cast("int").alias("child"), F.posexplode(doubles("embedding")).alias("dim", "x"))
+            means = each.groupBy("_from", "child", "dim").agg(F.avg("x").alias("x")).groupBy("_from", "child").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda z: z["x"]).alias("_new"))
+            moved = new.join(means.withColumnRenamed("_from", "parent"), ["parent", "child"], "left")
+            new = cut(moved.select("parent", "child", F.coalesce("_new", "centroid").alias("centroid")))
+        leaves = cut(_in_node(leaves, new))
+        nodes = new if nodes is None else nodes.unionByName(new)
+    if nodes is None:
+        nodes = vectors.limit(0).select(F.lit("").alias("parent"), F.lit(0).alias("child"), doubles("embedding").alias("centroid"))
+    return nodes, leaves
+
+
+def descend(vectors: DataFrame, nodes: DataFrame, depth: int = 9) -> DataFrame:
+    """New ``vectors`` with their path in a trained tree: from each node to the nearest child."""
+    placed, level = vectors.withColumn("path", F.lit("")), F.when(F.col("parent") == "", 0).otherwise(F.size(F.split("parent", "/")))
+    levels = (nodes.agg(F.max(level)).first()[0] or 0) + 1
+    for k in range(min(depth, levels)):
+        placed = _in_node(placed, nodes.where(level == k))
+    return placed
+
+
+def path_lists(leaves: DataFrame, access: DataFrame, limit: int) -> DataFrame:
+    """(label, path, vec_id): a label's lists sit at the highest nodes with at most ``limit`` of its holders, else at leaves.
+
+    Lists are what the current vectors and grants make them, so they split and merge with every change of either.
+    """
+    steps = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/"))
+    held = access.join(leaves.select("vec_id", steps.alias("_steps")), "vec_id").select("label", "vec_id", "_steps")
+    above = held.select("label", "vec_id", "_steps", F.explode(F.sequence(F.lit(0), F.size("_steps"))).alias("_k")).withColumn("path", F.array_join(F.slice("_steps", 1, F.col("_k")), "/"))
+    small = above.groupBy("label", "path").agg(F.count(F.lit(1)).alias("_n"))
+    met = above.join(small, ["label", "path"]).where((F.col("_n") <= limit) | (F.col("_k") == F.size("_steps")))
+    return met.groupBy("label", "vec_id").agg(F.min(F.struct("_k", "path")).alias("_m")).select("label", F.col("_m.path").alias("path"), "vec_id")
 
 
 def short_lists(leaves: DataFrame, access: DataFrame, limit: int, levels: tuple[str, ...] = ("n1", "n2")) -> DataFrame:
@@ -126,6 +219,32 @@ def tree_search(queries: DataFrame, leaves: DataFrame, level1: DataFrame, k: int
     return top_k(met.select("query_id", "vec_id", f("_q", "embedding").alias("distance")), k, metric).select("query_id", "rank", "vec_id", "distance")
 
 
+def tree_profile(queries: DataFrame, leaves: DataFrame, level1: DataFrame, max_candidates: int, prune: float = 1.6) -> DataFrame:
+    """(query_id, nodes, read, candidates): nodes scored, nodes read and vectors measured by ``tree_search``."""
+    sizes = level1.join(leaves.groupBy("n1").agg(F.count(F.lit(1)).alias("n")), "n1")
+    near = queries.crossJoin(_side(sizes)).withColumn("s", l2sq("embedding", "centroid"))
+    w = Window.partitionBy("query_id")
+    before = F.coalesce(F.sum("n").over(w.orderBy("s", "n1").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    read = (F.col("before") < max_candidates) & (F.col("s") <= F.col("best") * F.lit(float(prune)))
+    return near.withColumns({"before": before, "best": F.min("s").over(w)}).groupBy("query_id").agg(F.count(F.lit(1)).alias("nodes"), F.count_if(read).alias("read"), F.coalesce(F.sum(F.when(read, F.col("n"))), F.lit(0)).alias("candidates"))
+
+
+def tree_memory(leaves: DataFrame, lists: DataFrame) -> DataFrame:
+    """(vector_bytes, list_bytes, node_bytes) as stored: vectors in single, centroids in double precision, entries of 8 bytes."""
+    held = leaves.agg(F.sum(F.size("embedding") * 4).cast("long").alias("vector_bytes"), (F.count_distinct("n1") + F.count_distinct("n2")).alias("_nodes"), F.max(F.size("embedding")).alias("_d"))
+    return held.crossJoin(lists.agg((F.count(F.lit(1)) * 8).alias("list_bytes"))).select("vector_bytes", "list_bytes", (F.col("_nodes") * F.col("_d") * 8).cast("long").alias("node_bytes"))
+
+
+def kmeans_progressive(vectors: DataFrame, centroids: DataFrame, dims: tuple[int, ...]) -> DataFrame:
+    """Lloyd's iterations that look at more and more leading dimensions: one for each of ``dims``; means are of whole vectors."""
+    for d in dims:
+        lead = vectors.withColumn("_v", F.col("embedding")).withColumn("embedding", F.slice("embedding", 1, d))
+        near = assign_clusters(lead, centroids.withColumn("centroid", F.slice("centroid", 1, d))).withColumn("embedding", F.col("_v"))
+        new = lloyd_step(near).select("cluster_id", F.col("centroid").alias("_new"))
+        centroids = cut(centroids.join(new, "cluster_id", "left").select("cluster_id", F.coalesce("_new", doubles("centroid")).alias("centroid")))
+    return centroids
+
+
 def beam(queries: DataFrame, level1: DataFrame, level2: DataFrame, width: int, leaves: int) -> DataFrame:
     """(query_id, n1, n2): the ``width`` nearest nodes of the first level, then the ``leaves`` nearest of their children."""
     top = queries.crossJoin(_side(level1)).withColumn("s", l2sq("embedding", "centroid"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import doubles, hamming, l2sq, pack_signs
@@ -37,6 +37,23 @@ def sq_decode(codes: DataFrame, limits: DataFrame, levels: int = 255) -> DataFra
     return met.select("vec_id", F.zip_with(F.zip_with("code", step, lambda c, s: (c + 0.5) * s), "_lo", lambda x, lo: x + lo).alias("embedding"))
 
 
+def _limits(column: int, limits: list) -> Column:
+    return F.array(*(F.lit(float(x[column])) for x in limits))
+
+
+def sq_codes(vectors: DataFrame, limits: list, levels: int = 255) -> DataFrame:
+    """``vectors`` with code, under limits (lo, hi) of each dimension that are known already."""
+    above = F.zip_with(doubles("embedding"), _limits(0, limits), lambda x, lo: x - lo)
+    span = F.array(*(F.lit(float(hi - lo)) if hi > lo else F.lit(None).cast("double") for lo, hi in limits))
+    return vectors.withColumn("code", F.zip_with(above, span, lambda x, s: F.coalesce(F.greatest(F.lit(0), F.least(F.lit(levels), F.floor(x / s * levels))), F.lit(0)).cast("long")))
+
+
+def sq_values(codes: DataFrame, limits: list, levels: int = 255) -> DataFrame:
+    """``codes`` with embedding: the middle of each code's interval."""
+    step = F.array(*(F.lit(float(hi - lo) / levels) for lo, hi in limits))
+    return codes.withColumn("embedding", F.zip_with(F.zip_with("code", step, lambda c, s: (c + 0.5) * s), _limits(0, limits), lambda x, lo: x + lo))
+
+
 def rowwise(vectors: DataFrame, levels: int = 255) -> DataFrame:
     """vec_id, lo, scale, code with the limits of each row."""
     v = vectors.withColumns({"lo": F.array_min(doubles("embedding")), "_hi": F.array_max(doubles("embedding"))})
@@ -65,6 +82,13 @@ def mean_vector(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.posexplode(doubles("embedding")).alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("mean"))
 
 
+def _added(batch):
+    import pyarrow as pa
+
+    total = lambda c: np.sum([np.array(x) for x in batch.column(c).to_pylist()], 0).tolist()
+    return pa.table({"n": pa.array([sum(batch.column("n").to_pylist())], pa.int64()), "s": pa.array([total("s")], pa.list_(pa.float64())), "ss": pa.array([total("ss")], pa.list_(pa.float64()))})
+
+
 def pca(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Eigenvalues (falling) and eigenvectors (rows) of the covariance; only d x d sums reach the driver."""
 
@@ -79,7 +103,9 @@ def pca(vectors: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([ss.ravel().tolist()], pa.list_(pa.float64()))], ["n", "s", "ss"])
 
-    parts = vectors.select(F.col("embedding").cast("array<float>")).mapInArrow(moments, "n long, s array<double>, ss array<double>").collect()
+    each = vectors.select(F.col("embedding").cast("array<float>")).mapInArrow(moments, "n long, s array<double>, ss array<double>")
+    each = each.withColumn("_g", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = each.select("_g", "n", "s", "ss").groupBy("_g").applyInArrow(_added, "n long, s array<double>, ss array<double>").collect()  # at most 64 rows
     n = sum(p.n for p in parts)
     s = np.sum([p.s for p in parts], 0)
     d = len(s)

@@ -122,3 +122,13 @@ def same_up_to_draws(a: DataFrame, b: DataFrame, digits: int = 5) -> Column | bo
     """Whether two kNN results agree but for the order of equal distances and the choice among ties at the cut."""
     key = lambda d: d.select("query_id", "rank", F.round("distance", digits).alias("d"))
     return key(a).exceptAll(key(b)).isEmpty() and key(b).exceptAll(key(a)).isEmpty()
+
+
+def group_means(rows: DataFrame, groups: list[str], values: list[str]) -> DataFrame:
+    """(groups, n, means of the values) for each combination of the groups."""
+    return rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in values))
+
+
+def table_bytes(rows: DataFrame, column: str, width: int, name: str) -> DataFrame:
+    """(part, n, bytes): what an array column of ``width`` bytes an entry takes."""
+    return rows.agg(F.lit(name).alias("part"), F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(column) * width), F.lit(0)).cast("long").alias("bytes"))

@@ -46,8 +46,15 @@ def filter_categories(rows: DataFrame, column: str, kept: list[str], n: int, id_
 
 
 def label_encode(rows: DataFrame, column: str) -> DataFrame:
-    """Dense codes of the sorted distinct values."""
-    return rows.select(column).distinct().withColumn("code", F.row_number().over(Window.orderBy(column)) - 1)
+    """Dense codes of the sorted distinct values: places in each sorted partition after the sizes of the partitions before."""
+    spark = rows.sparkSession
+    values = cut(rows.select(column).distinct().repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), column).sortWithinPartitions(column).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftrightunsigned("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = sorted((r[0], r[1]) for r in values.groupBy(part.alias("p")).count().collect())  # a row for each partition
+    before = F.lit(0).cast("long")
+    for p, _ in sizes:
+        before = F.when(part == p, F.lit(sum(n for q, n in sizes if q < p)).cast("long")).otherwise(before)
+    return values.select(column, (before + place).alias("code"))
 
 
 def share_degree(access: DataFrame, degree: float, users: int, seed: int = 42) -> DataFrame:

@@ -2,7 +2,7 @@
 
 Tables: vectors(vec_id, embedding), queries(query_id, embedding), access(vec_id, label). Results are rows
 (query_id, rank, vec_id, distance), fewer than k where fewer qualify; ties go to the smaller id. A query side of at most
-``BROADCAST_QUERIES`` rows is broadcast, so vectors never move; beyond that the queries are dealt into blocks and every
+``BROADCAST_QUERIES`` rows and ``BROADCAST_FLOATS`` numbers is broadcast, so vectors never move; beyond that the queries are dealt into blocks and every
 block meets every partition of vectors, each through an equi-join on the block.
 """
 
@@ -13,8 +13,15 @@ from pyspark.sql import functions as F
 
 from ..functions.predicates import to_column
 from ..functions.vectors import metric as metric_of
+from .storage import cut
 
-BROADCAST_QUERIES = 10_000
+BROADCAST_QUERIES, BROADCAST_FLOATS = 10_000, 4_000_000
+
+
+def fits(queries: DataFrame) -> bool:
+    """Whether the queries, counted up to the bound on their rows, hold few enough numbers to be broadcast."""
+    n, numbers = queries.limit(BROADCAST_QUERIES + 1).agg(F.count(F.lit(1)), F.sum(F.size("embedding"))).first()
+    return n <= BROADCAST_QUERIES and (numbers or 0) <= BROADCAST_FLOATS
 
 
 def order(name: str, by: tuple[str, ...]) -> Window:
@@ -31,7 +38,7 @@ def pairs(queries: DataFrame, vectors: DataFrame, metric: str = "l2", bounded: b
     f, _ = metric_of(metric)
     q = queries.withColumnRenamed("embedding", "_q")
     if bounded is None:
-        bounded = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
+        bounded = fits(queries)
     if bounded:
         both = vectors.crossJoin(F.broadcast(q))
     else:
@@ -110,15 +117,64 @@ def range_max_results(queries: DataFrame, vectors: DataFrame, limit: int, metric
     return found.crossJoin(F.broadcast(cut)).where((F.col("n") <= limit) | (F.col("distance") * sign < F.col("r"))).drop("n", "r")
 
 
+def block_pairs(vectors: DataFrame, blocks: int = 16) -> DataFrame:
+    """Every row with every row of the same table, block against block by an equi-join: query_id and _q beside the row's own columns."""
+    own = [c for c in vectors.columns if c != "vec_id"]
+    left = vectors.select(F.col("vec_id").alias("query_id"), F.col(own[0]).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    return left.join(vectors.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")), "_block").drop("_block")
+
+
 def knn_graph(vectors: DataFrame, k: int, metric: str = "l2", blocks: int = 16) -> DataFrame:
-    """kNN of every vector among the others, block against block by an equi-join."""
+    """kNN of every vector among the others."""
     f, _ = metric_of(metric)
-    own = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
-    dealt = vectors.withColumn("_block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    met = own.join(dealt, "_block").where("query_id <> vec_id").select("query_id", "vec_id", f("_q", "embedding").alias("distance"))
+    met = block_pairs(vectors.select("vec_id", "embedding"), blocks).where("query_id <> vec_id").select("query_id", "vec_id", f("_q", "embedding").alias("distance"))
     return top_k(met, k, metric).select("query_id", "rank", "vec_id", "distance")
 
 
+def nn_descent(vectors: DataFrame, k: int, metric: str = "l2", rounds: int = 12, settled: float = 0.001, pool: int = 30) -> DataFrame:
+    """An approximate kNN graph (query_id, rank, vec_id, distance): neighbours of neighbours, both ways, are tried in rounds.
+
+    Starts from random others and holds the ``pool`` nearest found (``k`` at least), of which k are returned; ends when
+    fewer than ``settled`` of the entries change. A round joins the graph
+    with itself and with the vectors, each on an id, so its work grows with the rows and not with their square.
+    """
+    f, _ = metric_of(metric)
+    n, wanted, k = vectors.count(), k, max(k, pool)
+    numbered = cut(vectors.select("vec_id", "embedding", (F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("vec_id"), F.lit(64))).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id")) * 64 + F.pmod(F.xxhash64("vec_id"), F.lit(64))).alias("_at")))
+    ids = numbered.select("vec_id", "_at")
+    drawn = ids.select(F.col("vec_id").alias("query_id"), F.explode(F.sequence(F.lit(1), F.lit(2 * k))).alias("_k"), "_at")
+    # the next places in a random order, within one part of it and in the parts beside it
+    drawn = drawn.select("query_id", F.when(F.col("_k") <= k, F.col("_at") + 64 * F.col("_k")).otherwise(F.col("_at") + F.col("_k") - k).alias("_at"))
+    pairs_ = drawn.join(ids, "_at").select("query_id", "vec_id")
+
+    def kept(found: DataFrame) -> DataFrame:
+        met = found.where("query_id <> vec_id").distinct().join(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("_q")), "query_id").join(vectors.select("vec_id", "embedding"), "vec_id")
+        return cut(top_k(met.select("query_id", "vec_id", f("_q", "embedding").alias("distance")), k, metric).select("query_id", "rank", "vec_id", "distance"))
+
+    graph = kept(pairs_.unionByName(pairs_.select(F.col("vec_id").alias("query_id"), F.col("query_id").alias("vec_id"))))
+    for _ in range(rounds):
+        near = graph.select("query_id", "vec_id")
+        back = near.select(F.col("vec_id").alias("query_id"), F.col("query_id").alias("vec_id"))
+        # the other way a vector can have many neighbours: as many as it has the one way take part
+        some = back.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.xxhash64("vec_id"), "vec_id"))).where(F.col("_r") <= k).drop("_r")
+        both = cut(near.unionByName(some).distinct())
+        far = both.join(both.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("_next")), "vec_id").select("query_id", F.col("_next").alias("vec_id"))
+        new = kept(near.unionByName(back).unionByName(far))
+        changed = new.select("query_id", "vec_id").exceptAll(near).count()
+        graph = new
+        if changed <= settled * n * k:
+            break
+    return graph.where(F.col("rank") <= wanted)
+
+
+def random_results(queries: DataFrame, vectors: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """A baseline: k vectors for each query by a hash of both ids."""
+    q = queries.select("query_id")
+    both = vectors.select("vec_id").crossJoin(F.broadcast(q) if fits(queries) else q)
+    drawn = both.withColumn("_h", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("query_id").cast("string"), F.col("vec_id").cast("string"))))
+    return drawn.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("_h", "vec_id"))).where(F.col("rank") <= k).drop("_h")
+
+
 def assign(queries: DataFrame, vectors: DataFrame, k: int = 1, metric: str = "l2") -> DataFrame:
     return knn(queries, vectors, k, metric).select("query_id", "rank", "vec_id")
 

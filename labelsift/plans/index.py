@@ -83,8 +83,11 @@ def code_size(spec: IndexSpec, d: int) -> int:
 class FilteredIndex:
     """create, grant, revoke, delete, query by label, formula or ids, and without a filter; save and load."""
 
-    def __init__(self, spec: IndexSpec, vectors: DataFrame, log: DataFrame, centroids: DataFrame | None = None, axes: tuple = (), books: list | None = None):
-        self.spec, self.vectors, self.log, self.centroids, self.axes, self.books = spec, vectors, log, centroids, axes, books
+    def __init__(self, spec: IndexSpec, vectors: DataFrame, log: DataFrame, centroids: DataFrame | None = None, axes: tuple = (), books: list | None = None, limits: list | None = None):
+        self.spec, self.vectors, self.log, self.centroids, self.axes, self.books, self.limits = spec, vectors, log, centroids, axes, books, limits
+
+    def _with(self, vectors: DataFrame, log: DataFrame) -> FilteredIndex:
+        return FilteredIndex(self.spec, vectors, log, self.centroids, self.axes, self.books, self.limits)
 
     @classmethod
     def train(cls, spec: IndexSpec | str, vectors: DataFrame, access: DataFrame, rounds: int = 2, metric: str = "l2") -> FilteredIndex:
@@ -102,14 +105,23 @@ class FilteredIndex:
             centroids = clusters.kmeans(v, first.select(F.col("vec_id").alias("cluster_id"), F.col("embedding").cast("array<double>").alias("centroid")), rounds)
             v = clusters.assign_clusters(v, centroids)
         books = quantizers.pq_train(v, quantizers.first_books(v, spec.parts, 256), rounds) if spec.payload == "PQ" else None
+        limits = [[r.lo, r.hi] for r in codecs.sq_limits(v).orderBy("dim").collect()] if spec.payload == "SQ8" else None  # a row for each dimension
         log = access.select("vec_id", "label", F.lit("grant").alias("op"), F.lit(0).cast("timestamp").alias("ts"), F.lit(0).cast("long").alias("seq"))
-        return cls(spec, v, log, centroids, tuple(axes), books)
+        index = cls(spec, v, log, centroids, tuple(axes), books, limits)
+        index.vectors = index._coded(v)  # encoded once; searches read the codes
+        return index
+
+    def _coded(self, vectors: DataFrame) -> DataFrame:
+        """``vectors`` with code, for payloads that have one."""
+        if self.spec.payload == "SQ8":
+            return codecs.sq_codes(vectors, self.limits)
+        return quantizers.pq_encode(vectors, self.books) if self.spec.payload == "PQ" else vectors
 
     # -- changes
 
     def _logged(self, rows: DataFrame, op: str, seq: int) -> FilteredIndex:
         entry = rows.select("vec_id", "label", F.lit(op).alias("op"), F.lit(0).cast("timestamp").alias("ts"), F.lit(seq).cast("long").alias("seq"))
-        return FilteredIndex(self.spec, self.vectors, self.log.unionByName(entry), self.centroids, self.axes, self.books)
+        return self._with(self.vectors, self.log.unionByName(entry))
 
     def grant(self, rows: DataFrame, seq: int) -> FilteredIndex:
         """rows(vec_id, label); of entries for one pair the largest ``seq`` holds."""
@@ -122,13 +134,13 @@ class FilteredIndex:
         """New vectors; ids that are there already are an error of the caller that ``duplicates`` shows."""
         v = self.transformed(vectors)
         v = clusters.assign_clusters(v, self.centroids) if self.centroids is not None else v
-        return FilteredIndex(self.spec, self.vectors.unionByName(v.select(self.vectors.columns)), self.log, self.centroids, self.axes, self.books)
+        return self._with(self.vectors.unionByName(self._coded(v).select(self.vectors.columns)), self.log)
 
     def duplicates(self) -> DataFrame:
         return self.vectors.groupBy("vec_id").count().where("count > 1").select("vec_id")
 
     def delete(self, ids: DataFrame) -> FilteredIndex:
-        return FilteredIndex(self.spec, search.remove(self.vectors, ids), self.log.join(ids.select("vec_id").distinct(), "vec_id", "left_anti"), self.centroids, self.axes, self.books)
+        return self._with(search.remove(self.vectors, ids), self.log.join(ids.select("vec_id").distinct(), "vec_id", "left_anti"))
 
     # -- reads
 
@@ -145,12 +157,9 @@ class FilteredIndex:
         exact = vectors
         wide = k * p.k_factor if self.spec.refine and self.spec.payload != "Flat" else k
         if self.spec.payload == "SQ8":
-            limits = codecs.sq_limits(self.vectors)
-            vectors = codecs.sq_decode(codecs.sq_encode(vectors, limits), limits).join(vectors.drop("embedding"), "vec_id")
+            vectors = codecs.sq_values(vectors.drop("embedding"), self.limits).drop("code")
         elif self.spec.payload == "PQ":
-            rest = [c for c in vectors.columns if c != "embedding"]
-            coded = quantizers.pq_encode(vectors, self.books).select(*rest, "code")
-            vectors = quantizers.pq_decode(coded, self.books).drop("code")  # distances to decoded vectors are asymmetric distances
+            vectors = quantizers.pq_decode(vectors.drop("embedding"), self.books).drop("code")  # distances to decoded vectors are asymmetric distances
         found = clusters.ivf_search(q, vectors, self.centroids, wide, p.nprobe, self.spec.metric) if self.spec.nlist else search.knn(q, vectors, wide, self.spec.metric)
         return search.refine(found, q, exact, k, self.spec.metric) if wide != k else found
 
@@ -186,7 +195,7 @@ class FilteredIndex:
         self.log.write.mode("error").parquet(f"{path}/log")
         if self.centroids is not None:
             self.centroids.write.mode("error").parquet(f"{path}/centroids")
-        meta = json.dumps({"spec": asdict(self.spec), "axes": self.axes, "books": self.books})
+        meta = json.dumps({"spec": asdict(self.spec), "axes": self.axes, "books": self.books, "limits": self.limits})
         self.log.sparkSession.createDataFrame([(meta,)], "value string").write.mode("error").text(f"{path}/spec")
 
     @classmethod
@@ -194,7 +203,7 @@ class FilteredIndex:
         meta = json.loads(spark.read.text(f"{path}/spec").first()[0])
         spec = IndexSpec(**meta["spec"] | {"transforms": tuple((n, d) for n, d in meta["spec"]["transforms"])})
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-        return cls(spec, read("vectors"), read("log"), read("centroids") if spec.nlist else None, tuple(meta["axes"]), meta["books"])
+        return cls(spec, read("vectors"), read("log"), read("centroids") if spec.nlist else None, tuple(meta["axes"]), meta["books"], meta["limits"])
 
 
 def _apply(rows: DataFrame, name: str, n: int, axes: list | None) -> DataFrame:

@@ -59,12 +59,13 @@ PX, PY = "(abs(z[1]::double)+0.001)", "(abs(z[2]::double)+0.001)"
 
 
 def _pairs(t: Tables) -> DataFrame:
-    a = t.embeddings.where("vec_id < 10").select(F.col("vec_id").alias("i"), F.col("embedding").alias("x"))
-    b = t.embeddings.where("vec_id between 10 and 29").select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    return a.crossJoin(F.broadcast(b))
+    """The stated queries with every vector."""
+    a = t.q.select(F.col("query_id").alias("i"), F.col("embedding").alias("x"))
+    b = t.embeddings.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
+    return b.crossJoin(F.broadcast(a) if S.fits(t.q) else a)
 
 
-PAIRS = "(SELECT a.vec_id AS i, b.vec_id AS j, a.embedding AS x, b.embedding AS y FROM embeddings a, embeddings b WHERE a.vec_id < 10 AND b.vec_id BETWEEN 10 AND 29)"
+PAIRS = "(SELECT a.vec_id AS i, b.vec_id AS j, a.embedding AS x, b.embedding AS y FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 1)"
 POSITIVE = lambda c: F.transform(V.doubles(c), lambda a: F.abs(a) + 0.001)
 
 
@@ -180,15 +181,20 @@ def _(t):
     return knn_rows(S.knn_ids(t.q, t.v, t.embeddings.where("vec_id % 3 = 0").select("vec_id"), 10))
 
 
+def _by_residue(t: Tables, n: int) -> DataFrame:
+    """Each query with the vectors (vec_id, y) whose ids it names: those that with its own add up to a multiple of ``n``."""
+    own = t.q.withColumn("_r", F.pmod(-F.col("query_id"), F.lit(n)))
+    return t.v.select("vec_id", F.col("embedding").alias("y"), F.pmod("vec_id", F.lit(n)).alias("_r")).join(F.broadcast(own) if S.fits(t.q) else own, "_r").drop("_r")
+
+
 @query("knn_by_ids", sql(top("q JOIN v x ON (x.vec_id + q.query_id) % 7 = 0", 5), "q", "v"))
 def _(t):
-    own = t.q.select("query_id").crossJoin(F.broadcast(t.v.select("vec_id"))).where("(vec_id + query_id) % 7 = 0")
-    return knn_rows(S.knn_candidates(own, t.q, t.v, 5))
+    return knn_rows(S.knn_candidates(_by_residue(t, 7).select("query_id", "vec_id"), t.q, t.v, 5))
 
 
 @query("dist_by_idx", sql(f"SELECT query_id, x.vec_id, round({L2}, 4) AS distance FROM q JOIN v x ON (x.vec_id + q.query_id) % 17 = 0", "q", "v"))
 def _(t):
-    own = t.q.crossJoin(F.broadcast(t.v.select("vec_id", F.col("embedding").alias("y")))).where("(vec_id + query_id) % 17 = 0")
+    own = _by_residue(t, 17)
     return own.select("query_id", "vec_id", r6(V.l2("embedding", "y")).alias("distance"))
 
 
@@ -218,16 +224,15 @@ def _(t):
     return knn_rows(S.knn(pack(t.q), pack(t.v), 5, "hamming").withColumn("distance", F.col("distance").cast("double")))
 
 
-@query("match_hamming", sql(f"SELECT count(*) AS matches FROM (SELECT * FROM v WHERE vec_id < 100) a, v b WHERE a.vec_id < b.vec_id AND {_dot('a.embedding', 'b.embedding', '((z[1]>0)<>(z[2]>0))::int')} <= 22", "v"))
+@query("match_hamming", sql(f"SELECT count(*) AS matches FROM v a, v b WHERE a.vec_id < b.vec_id AND {_dot('a.embedding', 'b.embedding', '((z[1]>0)<>(z[2]>0))::int')} <= 22", "v"))
 def _(t):
     w = t.v.select("vec_id", V.pack_signs("embedding").alias("w"))
-    a = w.where("vec_id < 100").select(F.col("vec_id").alias("i"), F.col("w").alias("x"))
-    return w.crossJoin(F.broadcast(a)).where((F.col("i") < F.col("vec_id")) & (V.hamming("x", "w") <= 22)).agg(F.count(F.lit(1)).alias("matches"))
+    return S.block_pairs(w).where((F.col("query_id") < F.col("vec_id")) & (V.hamming("_q", "w") <= 22)).agg(F.count(F.lit(1)).alias("matches"))
 
 
-@query("knn_graph", sql("SELECT query_id, rank, vec_id, distance FROM (" + top("(SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id < 100) q JOIN (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 100) x ON q.query_id <> x.vec_id", 3) + ")"))
+@query("knn_graph", sql("SELECT query_id, rank, vec_id, distance FROM (" + top("(SELECT vec_id AS query_id, embedding FROM embeddings) q JOIN (SELECT vec_id, embedding FROM embeddings) x ON q.query_id <> x.vec_id", 3) + ")"))
 def _(t):
-    return knn_rows(S.knn_graph(t.v.where("vec_id < 100"), 3))
+    return knn_rows(S.knn_graph(t.v, 3))
 
 
 @query("reconstruct", "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::double)), 4) AS total FROM embeddings WHERE vec_id % 9 = 0")
@@ -240,9 +245,9 @@ def _(t):
     return S.remove(t.v, t.embeddings.where("vec_id % 4 = 0").select("vec_id")).agg(F.count(F.lit(1)).alias("left_over"), F.sum("vec_id").alias("ids"))
 
 
-@query("id_join", "SELECT l.l_orderkey AS k, e.vec_id FROM (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey < 2000) l LEFT JOIN embeddings e ON e.vec_id = l.l_orderkey")
+@query("id_join", "SELECT l.l_orderkey AS k, e.vec_id FROM (SELECT DISTINCT l_orderkey FROM lineitem) l LEFT JOIN embeddings e ON e.vec_id = l.l_orderkey")
 def _(t):
-    keys = t.lineitem.where("l_orderkey < 2000").select(F.col("l_orderkey").alias("k")).distinct()
+    keys = t.lineitem.select(F.col("l_orderkey").alias("k")).distinct()
     return keys.join(t.v.select("vec_id"), F.col("k") == F.col("vec_id"), "left")
 
 

@@ -1,7 +1,8 @@
 """Vector files: rows of (dimension, components) in fvecs, ivecs and bvecs, headed u8bin matrices, sparse access matrices.
 
 A file is read through Spark's binaryFile source, so any path that Spark reads will do; rows are numbered from 0 in each
-file. Memory is that of a file at a time; collections are kept as many files.
+file. Memory is that of a file at a time, for paths that only Spark reads; the ``vectorfile`` source (``table``) reads large
+files by ranges of rows.
 """
 
 from __future__ import annotations

@@ -499,11 +499,12 @@ def near_groups(prints: DataFrame) -> DataFrame:
     """(grp, node) of ``prints`` (node, p0, p1, ...): nodes whose fingerprints of one kind are in one component of Hamming
     links; groups of two nodes or more."""
     kinds = [c for c in prints.columns if c != "node"]
-    # anchors' fingerprints are of one kind, but take the shuffle one after another: its files go as each is written
+    # anchors' fingerprints are of one kind, but take the shuffle two by two: its files go as each result is written
     named = lambda k, c: F.xxhash64(F.lit(min(k, 1)), c)
     edges = None
-    for k, c in enumerate(kinds):
-        got = links(prints.select(F.col(c).alias("fp")).distinct()).select(named(k, F.col("a")).alias("a"), named(k, F.col("b")).alias("b"))
+    for together in (kinds[:1], *(kinds[k : k + 2] for k in range(1, len(kinds), 2))):
+        k = kinds.index(together[0])
+        got = links(prints.select(F.explode(F.array(*together)).alias("fp")).distinct()).select(named(k, F.col("a")).alias("a"), named(k, F.col("b")).alias("b"))
         edges = got if edges is None else edges.unionByName(got)
     roots = components(edges)
     each = prints.select("node", F.explode(F.array_distinct(F.array(*(named(k, F.col(c)) for k, c in enumerate(kinds))))).alias("fp"))

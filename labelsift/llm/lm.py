@@ -11,7 +11,8 @@ what stands before; contexts do not reach across texts.
 The minimum counts are fixed, so the tree grows with the corpus. Counts cover every training token and take ordinary
 shuffles; divergences are tested on the executors, context by context. Candidates and states are broadcast in slices of at
 most ``SLICE`` rows, by a hash of a context's newest word: all states of a token are in one slice, and a larger tree takes
-more passes over the texts, with the same result. Words beyond the ``HEAD`` most frequent are not broadcast:
+more passes over the texts, with the same result. Words seen fewer than ``HEAD_MIN`` times, or beyond the ``HEAD`` most
+frequent, are not broadcast:
 their tokens meet their counts in a shuffle. Words and contexts are identified by 64-bit hashes.
 
 Defined results: null text is the empty text (one end token); a document with a null id is held out; repeated rows are
@@ -37,9 +38,9 @@ ALPHA, DISCOUNT = 0.1, 0.5
 END = b"\n"  # no word holds white space
 END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
 #: Rows of states, entries or candidate contexts that are broadcast at once; words whose counts are.
-SLICE, HEAD = 1 << 22, 1 << 21
+SLICE, HEAD, HEAD_MIN = 1 << 22, 1 << 22, 4
 #: Pairs that a task holds at once, about.
-PAIRS = 1 << 20
+PAIRS = 1 << 21
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -127,12 +128,9 @@ def _unsigned(column) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
 
 
-def _counted(context: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
-    """Distinct pairs and their numbers."""
-    _, first, n = np.unique(entry_key(context, word), return_index=True, return_counts=True)
-    alike = np.argsort(context[first], kind="stable")  # packs well
-    first, n = first[alike], n[alike]
-    return pa.RecordBatch.from_arrays([_signed(context[first]), _signed(word[first]), pa.array(n.astype(np.int64))], ["context", "word", "n"])
+def _counted(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n.astype(np.int64))], ["pair", "n"])
 
 
 def word_counts(train: DataFrame) -> DataFrame:
@@ -150,32 +148,51 @@ def _sliced(contexts: DataFrame, slices: int, k: int) -> DataFrame:
     return contexts if slices == 1 else contexts.where(F.pmod(F.xxhash64("last"), F.lit(slices)) == k)
 
 
-def next_counts(train: DataFrame, contexts: DataFrame, order: int, count: int) -> DataFrame:
-    """(context, word, n) over all training tokens for the ``count`` rows of ``contexts``, whose column context has keys of ``order`` words."""
-    slices = max(1, -(-count // SLICE))
+def next_counts(train: DataFrame, contexts: DataFrame, words: DataFrame, order: int, above: DataFrame | None, least: int) -> DataFrame:
+    """(context, word, n) over all training tokens for ``contexts`` (context, last) of ``order`` words and next ``words`` (word), of pairs seen ``least`` times.
+
+    ``above`` (last, context, word) are the entries of contexts without the oldest word: what is rare there can't be frequent
+    here, so other pairs aren't counted. Pairs go to the shuffle as the places of both in the broadcast lists.
+    """
+    slices = max(1, -(-max(contexts.count(), above.count() if above is not None else 0) // SLICE))
+    word_slices = max(1, -(-words.count() // SLICE))
     found = None
-    for k in range(slices):
-        keys = np.sort(_arrow(_sliced(contexts, slices, k).select("context"))[0].view(np.uint64))
-        blob = train.sparkSession.sparkContext.broadcast(Index(keys))
+    for k, m in ((k, m) for k in range(slices) for m in range(word_slices)):
+        own = Index(np.sort(_arrow(_sliced(contexts, slices, k).select("context"))[0].view(np.uint64)))
+        nexts = Index(np.sort(_arrow(words.where(F.pmod(F.xxhash64("word"), F.lit(word_slices)) == m).select("word"))[0].view(np.uint64)))
+        parents = None
+        if above is not None:
+            parents = Index(np.sort(entry_key(*(x.view(np.uint64) for x in _arrow(_sliced(above, slices, k).select("context", "word"))))))
+        blob = train.sparkSession.sparkContext.broadcast((own, nexts, parents))
 
         def run(batches, blob=blob):
-            held, size = ([], []), 0
+            own, nexts, parents = blob.value
+            held, size = [], 0
             for b in chain.from_iterable(parts(b, 0) for b in batches):
                 w, _ = _tokens(b.column(0))
-                c = contexts_of(w, order)[-1]
-                on = np.flatnonzero(c)
-                on = on[blob.value.find(c[on])[1]]
-                held[0].append(c[on])
-                held[1].append(w[on])
-                size += len(on)
+                keys = contexts_of(w, order)
+                on = np.flatnonzero(keys[-1])
+                if parents is not None:
+                    on = on[parents.find(entry_key(keys[-2][on], w[on]))[1]]
+                context, known = own.find(keys[-1][on])
+                context, on = context[known], on[known]
+                word, known = nexts.find(w[on])
+                held.append(context[known] << 32 | word[known])
+                size += len(held[-1])
                 if size > PAIRS:
-                    yield _counted(*map(np.concatenate, held))
-                    held, size = ([], []), 0
+                    yield _counted(held)
+                    held, size = [], 0
             if size:
-                yield _counted(*map(np.concatenate, held))
+                yield _counted(held)
 
-        rows = train.select("_text").mapInArrow(run, "context long, word long, n long")
-        part = materialize(rows.groupBy("context", "word").agg(F.sum("n").alias("n")), "contexts")
+        def named(batches, blob=blob):
+            own, nexts, _ = blob.value
+            for b in batches:
+                pair = b.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([_signed(own.keys[pair >> 32]), _signed(nexts.keys[pair & 0xFFFFFFFF]), b.column(1)], ["context", "word", "n"])
+
+        rows = train.select("_text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+        part = materialize(rows.where(F.col("n") >= F.lit(least)).mapInArrow(named, "context long, word long, n long"), "contexts")
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -250,51 +267,50 @@ class Model:
 
 def train_model(train: DataFrame, depth: int = 3, context_min: int = 128, entry_min: int = 16) -> Model:
     """``train`` has _text."""
-    if not 1 <= depth <= 3:
-        raise ValueError("contexts have one to three words")
+    if not 1 <= depth <= 3 or context_min < entry_min:
+        raise ValueError("contexts have one to three words, and are no rarer than entries")
     sc = train.sparkSession.sparkContext
     counts = materialize(word_counts(train), "words")
     total, types = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     total = total or 0
-    # the fewest tokens that a word of the head may have: a power of two, so that at most HEAD words are broadcast
-    sizes = counts.groupBy(F.floor(F.log2("n")).alias("b")).count().orderBy(F.desc("b")).collect()  # at most 63 rows
+    # the fewest tokens that a word of the head may have: HEAD_MIN, or a higher power of two that leaves at most HEAD words
+    sizes = counts.where(F.col("n") >= HEAD_MIN).groupBy(F.floor(F.log2("n")).alias("b")).count().orderBy(F.desc("b")).collect()  # at most 63 rows
     head_min, size = 1 << 62, 0
     for r in sizes:
         size += r["count"]
         if size > HEAD:
             break
-        head_min = 1 << r.b
+        head_min = max(HEAD_MIN, 1 << r.b)
     word, n = _arrow(counts.where(F.col("n") >= head_min).select("word", "n"))
     order = np.argsort(word.view(np.uint64))
     model = Model(Tree(total, types, Index(word.view(np.uint64)[order]), n[order]), counts, head_min)
     if not total:
         return model
 
-    def grown(batches, first):
+    def grown(batches):
         for b in batches:
-            context, parent, word = (_unsigned(c) for c in b.columns)
-            new = extended(context, word)
-            yield pa.RecordBatch.from_arrays([_signed(new), _signed(np.zeros(len(new), np.uint64) if first else extended(parent, word)), _signed(extended(np.zeros(len(new), np.uint64), word))], ["context", "parent", "last"])
-
-    schema = "context long, parent long, last long"
-    often = counts.where((F.col("n") >= context_min) & (F.col("word") != int(END_HASH.view(np.int64))))
-    contexts = materialize(often.select(F.lit(0).cast("long").alias("context"), F.lit(0).cast("long").alias("parent"), "word").mapInArrow(lambda b: grown(b, True), schema), "candidates")
+            context, parent, word, n = (_unsigned(c) for c in b.columns)
+            none = np.zeros(len(word), np.uint64)
+            yield pa.RecordBatch.from_arrays([*map(_signed, (extended(context, word), np.where(context == 0, none, extended(parent, word)), extended(none, word), n))], ["context", "parent", "last", "total"])
+
+    # a context is followed by as many tokens as it has places, as it doesn't hold the end token
+    schema, inner = "context long, parent long, last long, total long", F.col("word") != int(END_HASH.view(np.int64))
+    zero = F.lit(0).cast("long")
+    often = counts.where((F.col("n") >= context_min) & inner).select(zero.alias("context"), zero.alias("parent"), "word", "n")
+    words, above = counts.where(F.col("n") >= entry_min).select("word", F.col("n").alias("c")), None
     for order in range(1, depth + 1):
-        count = contexts.count()
-        if not count:
+        contexts = materialize(often.mapInArrow(grown, schema), "candidates")
+        if contexts.isEmpty():
             break
-        pairs = next_counts(train, contexts, order, count)
-        totals = pairs.groupBy("context").agg(F.sum("n").alias("total")).join(contexts, "context")
-        entries = pairs.where(F.col("n") >= entry_min).join(totals, "context").join(counts.withColumnRenamed("n", "c"), "word")
-        entries = materialize(entries, "entries")
-        found, slices = None, 1
+        pairs = next_counts(train, contexts, words, order, above, entry_min).join(contexts, "context")
+        entries = materialize(pairs.where(F.col("n") >= entry_min).join(words, "word"), "entries")
+        found = None
         for slices, k, tree in model.trees():
             part = materialize(divergent(_sliced(entries, slices, k), order, sc.broadcast(tree)), "states")
             found = part if found is None else found.unionByName(part)
         model.tables.append(found)
-        if order < depth:
-            often = pairs.where((F.col("n") >= context_min) & (F.col("word") != int(END_HASH.view(np.int64))))
-            contexts = materialize(often.join(contexts, "context").select("context", "parent", "word").mapInArrow(lambda b: grown(b, False), schema), "candidates")
+        above = entries.select("last", "context", "word")
+        often = entries.where((F.col("n") >= context_min) & inner).select("context", "parent", "word", "n")
     return model
 
 

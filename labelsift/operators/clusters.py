@@ -103,6 +103,26 @@ def ivf_label_probes(queries: DataFrame, assigned: DataFrame, access: DataFrame,
     return top_k(met.select("query_id", "vec_id", f("_q", "embedding").alias("distance")), k, metric).select("query_id", "rank", "vec_id", "distance")
 
 
+# ---- Bloom filters of the labels in a cluster
+
+
+def bloom_positions(label: Column, bits: int = 1024, hashes: int = 3) -> Column:
+    """The bits that stand for a label: the first ``hashes`` (at most four) parts of its MD5."""
+    text = F.md5(label.cast("string"))
+    return F.array(*(F.pmod(F.conv(F.substring(text, 8 * k + 1, 8), 16, 10).cast("long"), F.lit(bits)).cast("int") for k in range(hashes)))
+
+
+def bloom_filters(held: DataFrame, bits: int = 1024, hashes: int = 3) -> DataFrame:
+    """(cluster_id, filter): the bits set for a cluster's labels, at most ``bits`` of them. held(cluster_id, label)."""
+    each = held.select("cluster_id", F.explode(bloom_positions(F.col("label"), bits, hashes)).alias("bit")).distinct()
+    return each.groupBy("cluster_id").agg(F.array_sort(F.collect_list("bit")).alias("filter"))
+
+
+def may_hold(own: Column, label: Column, bits: int = 1024, hashes: int = 3) -> Column:
+    """False if no vector of the filter's cluster has the label; true otherwise, and now and then without one."""
+    return F.size(F.array_except(bloom_positions(label, bits, hashes), own)) == 0
+
+
 # ---- trees of two levels and deeper, as paths
 
 

@@ -12,8 +12,9 @@ from .storage import cut
 
 
 def draw(*columns: str | Column, seed: int = 42) -> Column:
-    """A number in [0, 1) that depends on the columns and the seed alone."""
-    return F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    """A number in [0, 1) from the MD5 of the seed and the columns as text, the same in any SQL engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in columns))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
 def top_n_m(access: DataFrame, n: int, m: int) -> DataFrame:

@@ -13,7 +13,7 @@ from ..sources import datasets
 from ..sources.table import register
 from .fixtures import Tables, l2sq_sql, sql
 from .index import FilteredIndex, autotune, code_size, parse_spec, spec_text
-from .more import TOTAL, _files, _leaves, scratch, total
+from .more import TOTAL, _files, _leaves, draw_sql, scratch, total
 from .queries import knn_rows, query, r6, top
 
 # --------------------------------------------------------------------- sources
@@ -31,17 +31,13 @@ def _(t):
     return datasets.files(t.spark, path, "spmat").select(F.explode("embedding").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _uniform_sql(*key: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws(':', '42', {', '.join(key)})), 1, 8))::BIGINT / 4294967296.0)"
-
-
 def _synthetic_sql(d: int) -> str:
-    z = lambda k, j: f"{_uniform_sql('vec_id', str(k))} * {float((k + 1) * (j % 7 + 1) % 5 + 1)}"
+    z = lambda k, j: f"{draw_sql('vec_id', str(k))} * {float((k + 1) * (j % 7 + 1) % 5 + 1)}"
     return " + ".join(f"sin({' + '.join(z(k, j) for k in range(4))})" for j in range(d))
 
 
 query("src_synth", f"SELECT vec_id, round({_synthetic_sql(6)}, 4) AS total FROM (SELECT unnest(range(500)) AS vec_id)")(lambda t: datasets.synthetic(t.spark, 500, 6).select("vec_id", total()))
-query("src_registry", f"SELECT vec_id, label FROM (SELECT vec_id, unnest(range(10))::int AS label FROM (SELECT unnest(range(300)) AS vec_id)) WHERE {_uniform_sql('vec_id', chr(39) + 'label' + chr(39), 'label')} < 0.3")(lambda t: datasets.load(t.spark, "randperm-v300-t10-d0.3")[1])
+query("src_registry", f"SELECT vec_id, label FROM (SELECT vec_id, unnest(range(10))::int AS label FROM (SELECT unnest(range(300)) AS vec_id)) WHERE {draw_sql('vec_id', 'label')} < 0.3")(lambda t: datasets.load(t.spark, "randperm-v300-t10-d0.3")[1])
 EXACT = sql(top("q, v x"), "q", "v").replace("WITH ", "", 1).split(" SELECT query_id, rank", 1)
 
 

@@ -121,29 +121,18 @@ def _(t):
     return R.share_degree(t.a, 2 * mean, 100).groupBy("vec_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("prep_resample", "SELECT 300::bigint AS n, 0::bigint AS strangers")
-def _(t):
-    got = R.resample(t.v, 300).join(t.v.select("vec_id", F.lit(1).alias("own")), "vec_id", "left")
-    return got.agg(F.count_distinct("new_id").alias("n"), F.count_if(F.col("own").isNull()).alias("strangers"))
-
-
-@query("prep_random_access", "SELECT true AS near, 20::bigint AS labels")
-def _(t):
-    got = R.random_access(t.v, 20, 0.3).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"))
-    return got.crossJoin(F.broadcast(t.v.agg(F.count(F.lit(1)).alias("m")))).select((F.abs(F.col("n") / F.col("m") / 20 - 0.3) < 0.05).alias("near"), "labels")
+def draw_sql(*key: str, seed: int = 42) -> str:
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(key)})), 1, 8))::BIGINT / 4294967296.0)"
 
 
-@query("prep_uniform_labels", "SELECT true AS near, 10::bigint AS labels")
-def _(t):
-    got = R.random_access(t.v, 10, 0.5, seed=7).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("labels"))
-    return got.crossJoin(F.broadcast(t.v.agg(F.count(F.lit(1)).alias("m")))).select((F.abs(F.col("n") / F.col("m") / 10 - 0.5) < 0.05).alias("near"), "labels")
+def _each_label(n: int) -> str:
+    return f"(SELECT vec_id, unnest(range({n}))::int AS label FROM embeddings)"
 
 
-@query("prep_selectivity_labels", "SELECT unnest(range(10))::int AS label, true AS near")
-def _(t):
-    got = R.selectivity_labels(t.v, 5, 2).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    want = 0.01 + F.floor(F.col("label") / 2) * (0.99 / 4)
-    return got.crossJoin(F.broadcast(t.v.agg(F.count(F.lit(1)).alias("m")))).select("label", (F.abs(F.col("n") / F.col("m") - want) < 0.1).alias("near"))
+query("prep_resample", f"SELECT new_id, vec_id FROM (SELECT unnest(range(300)) AS new_id) p JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM embeddings) v ON v.i = floor({draw_sql('new_id')} * (SELECT count(*) FROM embeddings))::bigint")(lambda t: R.resample(t.v, 300).select("new_id", "vec_id"))
+query("prep_random_access", f"SELECT vec_id, label FROM {_each_label(20)} WHERE {draw_sql('vec_id', 'label')} < 0.3")(lambda t: R.random_access(t.v, 20, 0.3))
+query("prep_uniform_labels", f"SELECT vec_id, label FROM {_each_label(10)} WHERE {draw_sql('vec_id', 'label', seed=7)} < 0.5")(lambda t: R.random_access(t.v, 10, 0.5, seed=7))
+query("prep_selectivity_labels", f"SELECT vec_id, label FROM {_each_label(10)} WHERE {draw_sql('vec_id', 'label')} < 0.01 + label // 2 * 0.2475::double")(lambda t: R.selectivity_labels(t.v, 5, 2))
 
 
 @query("prep_random_test_labels", sql("SELECT query_id, n, true AS known FROM (SELECT vec_id AS query_id, count(*) AS n FROM a WHERE vec_id % 50 = 1 GROUP BY 1)", "a"))
@@ -154,9 +143,7 @@ def _(t):
     return kept.groupBy(F.col("vec_id").alias("query_id")).agg(F.count_distinct("label").alias("n"), (F.count_if(F.col("k").isNull()) == 0).alias("known"))
 
 
-@query("prep_label_sample", sql("SELECT least(count(DISTINCT label), 5) AS n FROM a", "a"))
-def _(t):
-    return R.label_sample(t.a, 5).agg(F.count(F.lit(1)).alias("n"))
+query("prep_label_sample", sql(f"SELECT label FROM (SELECT DISTINCT label FROM a) ORDER BY {draw_sql('label')}, label LIMIT 5", "a"))(lambda t: R.label_sample(t.a, 5))
 
 
 @query("prep_random_filters", "SELECT 12::bigint AS n, 12::bigint AS distinct_formulas")
@@ -443,7 +430,16 @@ query("ivf_centroid", sql("SELECT vec_id, cluster_id FROM asg WHERE vec_id % 50
 query("ivf_invlist_range", sql("SELECT vec_id, cluster_id FROM asg WHERE cluster_id >= 2 AND cluster_id < 6", "asg"))(lambda t: C.assign_clusters(t.v, t.c).where(P.in_range(F.col("cluster_id"), 2, 6)).select("vec_id", "cluster_id"))
 query("ivf_subset", sql("SELECT vec_id, cluster_id FROM asg WHERE vec_id % 8 = 3", "asg"))(lambda t: C.assign_clusters(t.v.where("vec_id % 8 = 3"), t.c).select("vec_id", "cluster_id"))
 query("ivf_recons", sql(f"SELECT vec_id, cluster_id, {TOTAL} FROM asg WHERE vec_id % 9 = 0", "asg"))(lambda t: C.assign_clusters(t.v, t.c).where("vec_id % 9 = 0").select("vec_id", "cluster_id", total()))
-query("bloom", sql("SELECT DISTINCT cluster_id, label FROM asg JOIN a USING (vec_id)", "asg", "a"))(lambda t: C.assign_clusters(t.v, t.c).join(t.a, "vec_id").select("cluster_id", "label").distinct())
+BIT = "('0x' || substr(md5(label::varchar), 8 * k + 1, 8))::bigint % 64"
+query("bloom", sql(f"SELECT cluster_id, label FROM (SELECT DISTINCT label FROM a) l, (SELECT cluster_id, list(DISTINCT {BIT}) AS bits FROM asg JOIN a USING (vec_id), (SELECT unnest(range(2)) AS k) GROUP BY 1) f WHERE list_has_all(bits, list_transform(range(2), lambda k: {BIT}))", "asg", "a"))(lambda t: _may_hold(t))
+
+
+def _may_hold(t) -> DataFrame:
+    """Clusters that a search for a label has to read, by filters so small that some are read for nothing."""
+    filters = C.bloom_filters(C.assign_clusters(t.v, t.c).join(t.a, "vec_id"), 64, 2)
+    return t.a.select("label").distinct().crossJoin(F.broadcast(filters)).where(C.may_hold(F.col("filter"), F.col("label"), 64, 2)).select("cluster_id", "label")
+
+
 query("acorn_local_sel", sql("SELECT cluster_id, round(count(*) FILTER (WHERE list_contains(labels, 31)) / count(*), 6) AS share FROM asg JOIN wide USING (vec_id) GROUP BY 1", "asg", "wide"))(lambda t: C.assign_clusters(t.wide, t.c).groupBy("cluster_id").agg(F.round(F.count_if(F.array_contains("labels", 31)) / F.count(F.lit(1)), 6).alias("share")))
 
 

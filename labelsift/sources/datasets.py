@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prepare import draw, random_access
 from .table import register
 
 Loader = Callable[..., tuple[DataFrame, DataFrame]]
@@ -32,30 +33,18 @@ def load(spark: SparkSession, name: str, **options) -> tuple[DataFrame, DataFram
     raise KeyError(f"{name!r} is none of {sorted(_LOADERS)}")
 
 
-def uniform(*key: Column | str, seed: int = 42) -> Column:
-    """A number in [0, 1) from the MD5 of ``seed`` and the key, the same in any SQL engine."""
-    text = F.concat_ws(":", F.lit(str(seed)), *(F.col(k).cast("string") if isinstance(k, str) else k.cast("string") for k in key))
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-
-
 def synthetic(spark: SparkSession, rows: int, d: int, seed: int = 42, first: int = 0) -> DataFrame:
     """vectors(vec_id, embedding): ``rows`` vectors on a curved surface of few parameters, so that neighbours are meaningful.
 
     Component j is the sine of a sum of four uniform parameters of the row with weights that depend on j alone.
     """
     ids = spark.range(first, first + rows).withColumnRenamed("id", "vec_id")
-    z = ids.select("vec_id", F.array(*(uniform("vec_id", F.lit(k), seed=seed) for k in range(4))).alias("z"))
+    z = ids.select("vec_id", F.array(*(draw("vec_id", F.lit(k), seed=seed) for k in range(4))).alias("z"))
     weight = lambda k, j: F.lit(float((k + 1) * (j % 7 + 1) % 5 + 1))
     parts = [F.sin(sum((F.col("z")[k] * weight(k, j) for k in range(4)), F.lit(0.0))) for j in range(d)]
     return z.select("vec_id", F.array(*parts).alias("embedding"))
 
 
-def random_access(vectors: DataFrame, labels: int, density: float, seed: int = 42) -> DataFrame:
-    """access(vec_id, label): each of ``labels`` labels with probability ``density``."""
-    each = vectors.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(labels - 1))).alias("label"))
-    return each.where(uniform("vec_id", F.lit("label"), "label", seed=seed) < density)
-
-
 def files(spark: SparkSession, path: str, kind: str) -> DataFrame:
     register(spark)
     return spark.read.format("vectorfile").option("kind", kind).load(path)
@@ -64,7 +53,7 @@ def files(spark: SparkSession, path: str, kind: str) -> DataFrame:
 @dataset(r"randperm-v(?P<vectors>\d+)-t(?P<labels>\d+)-d(?P<density>0?\.\d+)")
 def _random(spark: SparkSession, vectors: str, labels: str, density: str, d: int = 16, seed: int = 42):
     v = synthetic(spark, int(vectors), d, seed)
-    return v, random_access(v, int(labels), float(density), seed)
+    return v, random_access(v, int(labels), float(density), seed=seed)
 
 
 @dataset(r"u8bin-tags")

@@ -33,10 +33,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, parallelism, prepare, release
+from .common import documents, materialize, parallelism, prepare, release, salted_join
 from .tokens import hashed_words, mixed, parts
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -124,44 +124,31 @@ def _votes(hashes: list[int] | np.ndarray) -> np.ndarray:
     return bits.sum(0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, width: int, seed: int = 42, distinct: bool = False, chunk: int = 1 << 16) -> int:
-    """64-bit SimHash of ``width``-word shingles of the lower-cased bytes; memory is bounded by ``chunk`` hashes."""
+def fingerprint(text: bytes, width: int, seed: int = 42, chunk: int = 1 << 16) -> int:
+    """64-bit SimHash of ``width``-word shingles of the lower-cased bytes, repeats included; memory is bounded by ``chunk`` hashes."""
     words = text.lower().split()
     if not words:
         return 0
+    joined, ends, at = b" ".join(words), [], -1
+    for w in words:
+        at += len(w) + 1
+        ends.append(at)
+    starts = [0, *(e + 1 for e in ends)]
+    spans = list(zip(starts, ends[min(width, len(words)) - 1 :], strict=False))
     h = xxhash.xxh64_intdigest
-    if distinct:
-        words = list(set(words)) if width == 1 else words
-    if len(words) <= width:
-        hashes = [h(b" ".join(words), seed)]
-    elif width == 1:
-        hashes = [h(w, seed) for w in words]
-    else:
-        joined = b" ".join(words)
-        ends, at = [], -1
-        for w in words:
-            at += len(w) + 1
-            ends.append(at)
-        starts = [0, *(e + 1 for e in ends)]
-        spans = zip(starts, ends[width - 1 :], strict=False)
-        hashes = [h(joined[s:e], seed) for s, e in spans]
-        if distinct:
-            hashes = list(set(hashes))
-    votes = sum(_votes(hashes[k : k + chunk]) for k in range(0, len(hashes), chunk))
-    return int(np.packbits(votes * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seeds: tuple[int, ...] = (42,), distinct: bool = False) -> DataFrame:
-    """doc_id and fp0, fp1, ... (one per seed), as signed longs."""
+    votes = sum(_votes([h(joined[s:e], seed) for s, e in spans[k : k + chunk]]) for k in range(0, len(spans), chunk))
+    return int(np.packbits(votes * 2 > len(spans), bitorder="little").view(np.uint64)[0])
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id and fp, as a signed long."""
 
     def run(batches):
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            cols = [pa.array(np.array([fingerprint(t or b"", width, s, distinct) for t in texts], np.uint64).view(np.int64)) for s in seeds]
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["doc_id", *(f"fp{i}" for i in range(len(seeds)))])
+            yield pa.RecordBatch.from_arrays([b.column(0), _longs([fingerprint(t or b"", width, seed) for t in texts])], ["doc_id", "fp"])
 
-    schema = "doc_id long, " + ", ".join(f"fp{i} long" for i in range(len(seeds)))
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, "doc_id long, fp long")
 
 
 # ---------------------------------------------------------- groups settled
@@ -432,11 +419,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
     prepare(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col, text_col, width), "prints")
-    nodes = materialize(prints.groupBy(F.col("fp0").alias("fp")).agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
     roots = components(links(nodes, max_bits))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("fp", "component_id")
-    return prints.join(named, prints["fp0"] == named["fp"]).select("doc_id", F.lpad(F.lower(F.hex("fp0")), 16, "0").alias("fingerprint"), "component_id")
+    named = salted_join(rooted, rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root", "fp").select("fp", "component_id")
+    return salted_join(prints, named, "fp", "doc_id").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # ---------------------------------------------- verified near-duplicate stage
@@ -550,8 +537,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     shingled = shingled.join(active.select("node"), "node", "left_semi").dropDuplicates(["node"])
     roots = components(settle(groups.join(shingled, "node"), lambda x: ShingleSets(x, similarity), "n"))
     kept = first.join(roots, "node", "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    kept = kept.join(kept.groupBy("root").agg(F.min("doc_id").alias("kept")), "root").select("node", "kept")
-    drop = rows.join(kept, "node").where("doc_id <> kept").select(F.col("doc_id").alias("_drop")).distinct()
+    kept = salted_join(kept, kept.groupBy("root").agg(F.min("doc_id").alias("kept")), "root", "node").select("node", "kept")
+    drop = salted_join(rows.select("node", "doc_id"), kept, "node", "doc_id").where("doc_id <> kept").select(F.col("doc_id").alias("_drop")).distinct()
     return docs.join(drop, docs[id_col].cast("long") == drop["_drop"], "left_anti")
 
 

@@ -44,7 +44,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 GOLAY = 0b101011100011
 SMALL_BUCKET = 16
 #: A task walks at most so many rows of a group, holding at most so many words of payload (one very long text aside).
-BLOCK_ROWS, BLOCK_WEIGHT = 2048, 1 << 19
+BLOCK_ROWS, BLOCK_WEIGHT, HELD_BYTES = 2048, 1 << 19, 1 << 25
 #: Blocks of a large group whose representatives visit all blocks before the rest does.
 REPRESENTATIVES = 16
 #: For the verified stage: words taken with each anchor of a text, at least its shingle.
@@ -158,9 +158,13 @@ class Prints:
     """The fingerprints of a block; ``near`` marks those within ``bits`` of one."""
 
     def __init__(self, payloads: list[int], bits: int):
-        self.items = np.array(payloads, np.int64).view(np.uint64)
+        self.items = self.read(payloads)
         self.bits = bits
 
+    @staticmethod
+    def read(payloads: list[int]) -> np.ndarray:
+        return np.array(payloads, np.int64).view(np.uint64)
+
     def near(self, item) -> np.ndarray:
         return np.bitwise_count(self.items ^ item) <= self.bits
 
@@ -169,13 +173,17 @@ class ShingleSets:
     """The sets of a block as sorted hashes, with an index from hash to sets; ``near`` marks the sets of at least the similarity."""
 
     def __init__(self, payloads: list[bytes], similarity: float):
-        self.items = [np.frombuffer(p, np.uint64) for p in payloads]
+        self.items = self.read(payloads)
         self.similarity = similarity
         self.n = np.array([len(x) for x in self.items], np.int64)
         self.hashes, which = np.unique(np.concatenate([np.empty(0, np.uint64), *self.items]), return_inverse=True)
         self.owner = np.repeat(np.arange(len(self.n)), self.n)[np.argsort(which, kind="stable")]
         self.starts = np.r_[0, np.cumsum(np.bincount(which, minlength=len(self.hashes)))]
 
+    @staticmethod
+    def read(payloads: list[bytes]) -> list[np.ndarray]:
+        return [np.frombuffer(p, np.uint64) for p in payloads]
+
     def near(self, item: np.ndarray) -> np.ndarray:
         if not len(self.hashes) or not len(item):
             return self.n == len(item)
@@ -202,7 +210,7 @@ def _walk(nodes: np.ndarray, block: Prints | ShingleSets) -> Iterator[tuple[int,
             todo += list(got)
 
 
-def _visit(nodes: np.ndarray, roots: np.ndarray, block: Prints | ShingleSets, visitors: list, make: Callable) -> Iterator[tuple[int, int]]:
+def _visit(nodes: np.ndarray, roots: np.ndarray, block: Prints | ShingleSets, visitors: list) -> Iterator[tuple[int, int]]:
     """Links of ``visitors`` (node, root, payload) to the block's rows, where they join roots that aren't joined yet."""
     joined: dict[int, int] = {}
 
@@ -211,7 +219,7 @@ def _visit(nodes: np.ndarray, roots: np.ndarray, block: Prints | ShingleSets, vi
             r = joined[r]
         return r
 
-    for (node, root, _), item in zip(visitors, make([v[2] for v in visitors]).items, strict=True):
+    for (node, root, _), item in zip(visitors, block.read([v[2] for v in visitors]), strict=True):
         for x in np.flatnonzero((roots != root) & block.near(item)):
             a, b = find(root), find(int(roots[x]))
             if a != b:
@@ -230,20 +238,22 @@ def _by_block(rows: DataFrame, make: Callable) -> DataFrame:
         if not own or len(held) < 2:
             return []
         nodes, block = np.array([r[3] for r in own], np.int64), make([r[5] for r in own])
-        return list(_visit(nodes, np.array([r[4] for r in own], np.int64), block, guests, make) if guests else _walk(nodes, block))
+        return list(_visit(nodes, np.array([r[4] for r in own], np.int64), block, guests) if guests else _walk(nodes, block))
 
     def run(batches):
         held: list = []
+        size = 0
         out: list[tuple[int, int]] = []
         for b in batches:
             for r in zip(*(b.column(k).to_pylist() for k in range(len(columns))), strict=True):
                 if held and held[0][:2] != r[:2]:
                     out += settled(held)
-                    held = []
-                elif len(held) >= 2 * BLOCK_ROWS and r[2]:  # more visitors than a block has rows: they come in parts
+                    held, size = [], 0
+                elif r[2] and (len(held) >= 2 * BLOCK_ROWS or size >= HELD_BYTES):  # many visitors come in parts
                     out += settled(held)
-                    held = [x for x in held if not x[2]]
+                    held, size = [x for x in held if not x[2]], 0
                 held.append(r)
+                size += len(r[5]) if isinstance(r[5], bytes) else 8
             if len(out) > 1 << 16:
                 yield _pairs(out)
                 out = []

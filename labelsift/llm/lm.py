@@ -9,7 +9,7 @@ distribution (c + 0.1) / (N + 0.1 (V + 1)). A text's tokens are scored in the lo
 what stands before; contexts do not reach across texts.
 
 The minimum counts are fixed, so the tree grows with the corpus. Counts cover every training token and take ordinary
-shuffles; divergences are tested on the executors, context by context. Candidates and states are broadcast in slices of at
+shuffles; divergences are summed up on the executors. Candidates and states are broadcast in slices of at
 most ``SLICE`` rows, by a hash of a context's newest word: all states of a token are in one slice, and a larger tree takes
 more passes over the texts, with the same result. Words seen fewer than ``HEAD_MIN`` times, or beyond the ``HEAD`` most
 frequent, are not broadcast:
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, materialize, parallelism, prepare
+from .common import documents, materialize, prepare, salted_join
 from .tokens import WINDOW, Index, hashed_words, mixed, parts
 
 ALPHA, DISCOUNT = 0.1, 0.5
@@ -202,41 +202,30 @@ def _arrow(df: DataFrame) -> list[np.ndarray]:
     return [c.to_numpy() if t.num_rows else np.empty(0, np.int64) for c in t.columns]
 
 
-def divergent(entries: DataFrame, order: int, blob) -> DataFrame:
+def divergent(entries: DataFrame, order: int, blob, tokens: int) -> DataFrame:
     """(last, context, gamma, word, gain) of the states among the contexts of ``entries`` (context, parent, last, total, word, n, c).
 
-    Sorted by context within a partition; a context is tested when its last entry has come.
+    Divergences are sums over entries, so no context has to come together in one task.
     """
 
-    def test(context, parent, last, total, word, n, c, tree):
-        base = np.log10((c + ALPHA) / tree.norm)
-        above = [last] if order == 2 else [last, parent] if order == 3 else []
-        below = 10.0 ** (base + tree.log_gain([x.view(np.uint64) for x in above], word.view(np.uint64)))
-        first = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
-        size = np.diff(np.r_[first, len(context)])
-        add = lambda v: np.add.reduceat(v, first)
-        left = 1 - add(n - DISCOUNT) / total[first]
-        p = (n - DISCOUNT) / total + np.repeat(left, size) * below
-        gain = add(n * np.log(p / below)) + (total[first] - add(n)) * np.log(left)
-        on = np.repeat(gain > 0.5 * (size + 1) * np.log(max(tree.total, 2)), size)
-        return pa.RecordBatch.from_arrays([pa.array(x[on]) for x in (last, context, np.repeat(np.log10(left), size), word, np.log10(p) - base)], ["last", "context", "gamma", "word", "gain"])
-
-    def run(batches):
-        held = None
+    def measured(batches):
         for b in batches:
-            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            done = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last context may go on
-            if done:
-                yield test(*(x[:done] for x in held), blob.value)
-                held = [x[done:] for x in held]
-        if held is not None and len(held[0]):
-            yield test(*held, blob.value)
-
-    columns = ["context", "parent", "last", "total", "word", "n", "c"]
-    n = parallelism(entries.sparkSession)
-    dealt = entries.select(columns).repartition(n, "context").sortWithinPartitions("context", "word")
-    return dealt.mapInArrow(run, "last long, context long, gamma double, word long, gain double")
+            context, parent, last, total, word, n, c, held, size = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            tree = blob.value
+            base = np.log10((c + ALPHA) / tree.norm)
+            above = [last] if order == 2 else [last, parent] if order == 3 else []
+            below = 10.0 ** (base + tree.log_gain([x.view(np.uint64) for x in above], word.view(np.uint64)))
+            left = 1 - (held - DISCOUNT * size) / total
+            p = (n - DISCOUNT) / total + left * below
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (last, context, np.log10(left), word, np.log10(p) - base, n * np.log(p / below), total - held, size)], ["last", "context", "gamma", "word", "gain", "told", "rest", "size"])
+
+    sums = entries.groupBy("context").agg(F.sum("n").alias("held"), F.count(F.lit(1)).alias("size"))
+    columns = ["context", "parent", "last", "total", "word", "n", "c", "held", "size"]
+    each = salted_join(entries, sums, "context", "word").select(columns)
+    each = materialize(each.mapInArrow(measured, "last long, context long, gamma double, word long, gain double, told double, rest long, size long"), "measured")
+    whole = each.groupBy("context", "gamma", "rest", "size").agg(F.sum("told").alias("told"))
+    kept = whole.where(F.col("told") + F.col("rest") * F.col("gamma") * F.log(F.lit(10.0)) > (F.col("size") + 1) * 0.5 * F.log(F.lit(float(max(tokens, 2))))).select("context")
+    return salted_join(each.select("last", "context", "gamma", "word", "gain"), kept, "context", "word").select("last", "context", "gamma", "word", "gain")
 
 
 class Model:
@@ -302,11 +291,11 @@ def train_model(train: DataFrame, depth: int = 3, context_min: int = 128, entry_
         contexts = materialize(often.mapInArrow(grown, schema), "candidates")
         if contexts.isEmpty():
             break
-        pairs = next_counts(train, contexts, words, order, above, entry_min).join(contexts, "context")
-        entries = materialize(pairs.where(F.col("n") >= entry_min).join(words, "word"), "entries")
+        pairs = salted_join(next_counts(train, contexts, words, order, above, entry_min), contexts, "context", "word")
+        entries = materialize(salted_join(pairs, words, "word", "context"), "entries")
         found = None
         for slices, k, tree in model.trees():
-            part = materialize(divergent(_sliced(entries, slices, k), order, sc.broadcast(tree)), "states")
+            part = materialize(divergent(_sliced(entries, slices, k), order, sc.broadcast(tree), total), "states")
             found = part if found is None else found.unionByName(part)
         model.tables.append(found)
         above = entries.select("last", "context", "word")

@@ -4,9 +4,9 @@ A file is compared by units: its lines' sentences, its paragraphs (headers among
 taken out, the sentences of these, and the whole file. Units and templates (statements, headers, titles of licence texts,
 SPDX lines) are sparse TF-IDF vectors; document frequencies of the templates' terms are counted over all files, terms of
 no template weigh as unseen. A unit matches a template if the cosine reaches the threshold and the unit holds the words
-that tell the licence from its kin. The rarest of these words is the template's signature (without such words, the terms
-without which the others can't reach the threshold), so only files and units that hold a signature are taken apart; none
-that could match is passed over. A file's licence is its best match.
+that tell the licence from its kin. A template's signature is the rarest of these words, or the words without which the
+others can't reach the threshold, whichever fewer files hold; only files and units with one are taken apart, and none that
+could match is passed over. A file's licence is its best match.
 
 A file without one takes that of the nearest directory above it in which a file speaks: directories, made distinct first,
 are joined with speaking files by their ancestor paths, and files with their own directory; both joins are salted.
@@ -96,10 +96,11 @@ class Statements:
             v = {t: terms.count(t) * self.idf[t] for t in terms}
             norm = math.sqrt(sum(x * x for x in v.values()))
             self.rows += [(k, name, t, x / norm, t in needed) for t, x in v.items()]
-            # a unit must hold all needed words; without any, it must hold one of the rarest, as the others can't reach the threshold
+            # a unit must hold every needed word, and one of the rarest words, as the others can't reach the threshold: what fewer files hold
             rarest = sorted(v, key=lambda t: (-df.get(t, 0), t))
             mass = [sum((v[t] / norm) ** 2 for t in rarest[: i + 1]) for i in range(len(rarest))]
-            self.signature |= {min(needed, key=lambda t: (df.get(t, 0), t))} if needed else {t for t, m in zip(rarest, mass, strict=True) if m >= threshold**2 - 1e-9}
+            ways = [{t for t, m in zip(rarest, mass, strict=True) if m >= threshold**2 - 1e-9}, *({t} for t in sorted(needed))]
+            self.signature |= min(ways, key=lambda w: sum(df.get(t, 0) for t in w))
         self.needed = {k: len({t for j, _, t, _, m in self.rows if j == k and m}) for k in range(len(templates))}
 
     def table(self, spark) -> DataFrame:

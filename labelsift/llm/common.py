@@ -91,3 +91,11 @@ def salted_join(large: DataFrame, small: DataFrame, key: str, by: str, how: str
     salt = unused(large, "_salt")
     left = large.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)).cast("int"))
     return left.join(small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], how).drop(salt)
+
+
+def smallest(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """At most ``n`` rows, those of the smallest hashes of ``key``, one of each hash. Only hashes are sorted, so no task holds rows."""
+    h = unused(rows, "_h")
+    hashed = rows.withColumn(h, F.xxhash64(*key))
+    chosen = hashed.select(h).orderBy(h).limit(n).distinct()
+    return hashed.join(F.broadcast(chosen), h, "left_semi").dropDuplicates([h]).orderBy(h).drop(h)

@@ -12,7 +12,7 @@ words outside them shrinks with the share of the page's words that stand inside.
 they are (scripts, styles, menus, headers and footers of the page, sidebars, forms, notices, adverts, reader comments) are
 markup: one tag of the sequence, whose words are no words of it.
 
-The fit sees a bounded sample of pages (``sample``, smallest by hash of the id). White space is that of HTML (a no-break
+The fit sees a bounded sample of pages (``sample``, smallest by hash). White space is that of HTML (a no-break
 space is none). Defined results: null html is the empty page, whose text is empty; pages without any words in the
 sequence are empty; repeated rows give a row each; an empty table gives an empty result; other columns are ignored.
 """
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare
+from .common import prepare, smallest
 
 #: Fixed values of HTML: elements without an end tag, with raw text, and that break a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -255,12 +255,13 @@ def main_text(page: str | None, weights: Weights) -> str:
 
 
 def fit_weights(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = 500, longest: int = 200_000) -> Weights:
-    """Weights from at most ``sample`` labelled pages of up to ``longest`` characters, the smallest by a hash of the id.
+    """Weights from at most ``sample`` labelled pages of up to ``longest`` characters, the smallest by a hash of id and page.
 
     Executors take the pages apart; the driver gets the blocks' counts and tags, not their text.
     """
     h = F.col(html_col)
-    rows = pages.where(h.rlike("(?i)<(article|main)[\\s>]") & (F.length(h) <= longest)).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample)
+    labelled = pages.where(h.rlike("(?i)<(article|main)[\\s>]") & (F.length(h) <= longest))
+    rows = smallest(labelled.select(id_col, html_col), sample, id_col, html_col)
 
     def run(batches):
         for b in batches:

@@ -40,7 +40,7 @@ END_HASH = np.uint64(xxhash.xxh64_intdigest(END))
 #: Rows of states, entries or candidate contexts that are broadcast at once; words whose counts are.
 SLICE, HEAD, HEAD_MIN = 1 << 22, 1 << 22, 4
 #: Pairs that a task holds at once, about.
-PAIRS = 1 << 21
+PAIRS = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -137,7 +137,7 @@ def word_counts(train: DataFrame) -> DataFrame:
     """(word, n) over all tokens, end tokens included."""
 
     def run(batches):
-        for b in chain.from_iterable(parts(b, 0, 4 * WINDOW) for b in batches):
+        for b in chain.from_iterable(parts(b, 0, 2 * WINDOW) for b in batches):
             word, n = np.unique(_tokens(b.column(0))[0], return_counts=True)
             yield pa.RecordBatch.from_arrays([_signed(word), pa.array(n.astype(np.int64))], ["word", "n"])
 
@@ -193,6 +193,7 @@ def next_counts(train: DataFrame, contexts: DataFrame, words: DataFrame, order:
 
         rows = train.select("_text").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
         part = materialize(rows.where(F.col("n") >= F.lit(least)).mapInArrow(named, "context long, word long, n long"), "contexts")
+        blob.unpersist()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -295,7 +296,9 @@ def train_model(train: DataFrame, depth: int = 3, context_min: int = 128, entry_
         entries = materialize(salted_join(pairs, words, "word", "context"), "entries")
         found = None
         for slices, k, tree in model.trees():
-            part = materialize(divergent(_sliced(entries, slices, k), order, sc.broadcast(tree), total), "states")
+            blob = sc.broadcast(tree)
+            part = materialize(divergent(_sliced(entries, slices, k), order, blob, total), "states")
+            blob.unpersist()
             found = part if found is None else found.unionByName(part)
         model.tables.append(found)
         above = entries.select("last", "context", "word")

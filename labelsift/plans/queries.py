@@ -14,6 +14,7 @@ from ..operators import codecs as K
 from ..operators import evaluate as E
 from ..operators import prepare as R
 from ..operators import search as S
+from ..operators.nearest import nearest
 from .fixtures import FORMULAS, Tables, _dot, l2sq_sql, sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -431,10 +432,9 @@ def _(t):
 
 @query("split_vectors", sql("SELECT query_id, sum(d)::double AS distance, list(vec_id ORDER BY part) AS ids FROM (SELECT query_id, part, vec_id, round(d, 4) AS d FROM (SELECT query_id, part, x.vec_id, " + l2sq_sql("q.embedding[part*32+1:part*32+32]", "x.embedding[part*32+1:part*32+32]") + " AS d FROM q, v x, range(2) r(part)) QUALIFY row_number() OVER (PARTITION BY query_id, part ORDER BY d, vec_id) = 1) GROUP BY 1", "q", "v").replace("sum(d)::double AS distance", "round(sum(d), 3) AS distance"))
 def _(t):
-    q = t.q.withColumn("part", F.explode(F.array(F.lit(0), F.lit(1)))).withColumnRenamed("embedding", "x")
-    cut = lambda c: F.slice(c, F.col("part") * 32 + 1, F.lit(32))
-    met = t.v.crossJoin(F.broadcast(q)).groupBy("query_id", "part").agg(F.min(F.struct(V.l2sq(cut(F.col("x")), cut(F.col("embedding"))).alias("d"), "vec_id")).alias("m"))
-    return met.groupBy("query_id").agg(F.round(F.sum(r6("m.d")), 3).alias("distance"), F.transform(F.array_sort(F.collect_list(F.struct("part", "m.vec_id"))), lambda z: z["vec_id"]).alias("ids"))
+    halves = lambda d, key: d.select(key, F.posexplode(F.array(*(F.slice("embedding", p * 32 + 1, 32) for p in range(2)))).alias("part", "embedding"))
+    best = S.top_k(nearest(halves(t.q, "query_id"), halves(t.v, "vec_id"), 1, "l2sq", group="part", own=True), 1, "l2sq", ("query_id", "part"))
+    return best.groupBy("query_id").agg(F.round(F.sum(r6("distance")), 3).alias("distance"), F.transform(F.array_sort(F.collect_list(F.struct("part", "vec_id"))), lambda z: z["vec_id"]).alias("ids"))
 
 
 # ------------------------------------------------------------------- codecs

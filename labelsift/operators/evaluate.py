@@ -120,8 +120,8 @@ def fit_cost(log: DataFrame, size: str, time: str, by: tuple[str, ...] = ()) ->
 
 def same_up_to_draws(a: DataFrame, b: DataFrame, digits: int = 5) -> Column | bool:
     """Whether two kNN results agree but for the order of equal distances and the choice among ties at the cut."""
-    key = lambda d: d.select("query_id", "rank", F.round("distance", digits).alias("d"))
-    return key(a).exceptAll(key(b)).isEmpty() and key(b).exceptAll(key(a)).isEmpty()
+    key = lambda d, n: d.select("query_id", "rank", F.round("distance", digits).alias("d"), F.lit(n).alias("_n"))
+    return key(a, 1).unionByName(key(b, -1)).groupBy("query_id", "rank", "d").agg(F.sum("_n").alias("_n")).where("_n <> 0").isEmpty()  # each is found once
 
 
 def group_means(rows: DataFrame, groups: list[str], values: list[str]) -> DataFrame:

@@ -59,10 +59,10 @@ X, Y = "z[1]::double", "z[2]::double"
 PX, PY = "(abs(z[1]::double)+0.001)", "(abs(z[2]::double)+0.001)"
 
 
-def _pairs(t: Tables) -> DataFrame:
-    """The stated queries with every vector."""
-    a = t.q.select(F.col("query_id").alias("i"), F.col("embedding").alias("x"))
-    b = t.embeddings.select(F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
+def _pairs(t: Tables, own: Callable[[str], Column] = F.col) -> DataFrame:
+    """The stated queries with every vector; ``own`` is worked out for each row before they meet."""
+    a = t.q.select(F.col("query_id").alias("i"), own("embedding").alias("x"))
+    b = t.embeddings.select(F.col("vec_id").alias("j"), own("embedding").alias("y"))
     return b.crossJoin(F.broadcast(a) if S.fits(t.q) else a)
 
 
@@ -89,7 +89,7 @@ _distance("dist_braycurtis", V.braycurtis, f"{_d(f'abs({X}-{Y})')}/{_d(f'abs({X}
 _distance("dist_jaccard", lambda x, y: V.jaccard(POSITIVE(x), POSITIVE(y)), f"{_d(f'least({PX},{PY})')}/{_d(f'greatest({PX},{PY})')}")
 _distance("dist_jensenshannon", lambda x, y: V.jensenshannon(POSITIVE(x), POSITIVE(y)), f"{_d(f'-{PX}*ln(({PX}+{PY})/2/{PX})-{PY}*ln(({PX}+{PY})/2/{PY})')}/2")
 _distance("dist_cosine", V.cosine, f"{_d(f'{X}*{Y}')}/(sqrt({_dot('x', 'x', f'{X}*{Y}')})*sqrt({_dot('y', 'y', f'{X}*{Y}')}))")
-_distance("dist_hamming", lambda x, y: V.hamming(V.pack_signs(x), V.pack_signs(y)).cast("double"), _d("((z[1]>0)<>(z[2]>0))::int") + "::double")
+query("dist_hamming", f"SELECT i, j, round({_d('((z[1]>0)<>(z[2]>0))::int') + '::double'}, 4) AS value FROM {PAIRS}")(lambda t: _pairs(t, V.pack_signs).select("i", "j", V.hamming("x", "y").cast("double").alias("value")))
 _distance("dist_gen_hamming", lambda x, y: V.generalized_hamming(F.transform(x, lambda a: F.floor(a * 10)), F.transform(y, lambda a: F.floor(a * 10))).cast("double"), _d("(floor(z[1]*10)<>floor(z[2]*10))::int") + "::double")
 _distance("vec_ip_to_l2", lambda x, y: V.ip_to_l2sq(V.norm_sq(x), V.norm_sq(y), V.inner_product(x, y)), _d(f"({X}-{Y})*({X}-{Y})"))
 _distance("vec_madd", lambda x, y: V.total(V.madd(x, 0.5, y)), _d(f"{X}+0.5*{Y}"))

@@ -1,7 +1,7 @@
 """A corpus pipeline of five of the training-data operators.
 
 Each stage works on all that its predecessor kept and returns the columns of ``documents``; the last returns one row of
-token counts and digests for each document.
+token counts and digests for each document, repeated as mixing repeats it.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn so that sources, languages and topics come near their slightly tempered shares."""
-    return mixing.sample_mix(docs, temper=0.97)
+    """As many tokens as before, with op6's tempered shares of sources, languages and topics: documents are thinned or repeated."""
+    return mixing.resample_mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,19 +83,43 @@ def rake(cells: DataFrame, targets: dict[str, dict] | None = None, temper: float
     return w.select(*MARGINS, "n", "w")
 
 
-def mix(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float = 0.8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None, **raking) -> DataFrame:
-    """One row per document: doc_id, source, lang, topic, probability, kept."""
+def _weighed(docs: DataFrame, targets: dict[str, dict] | None, temper: float, id_col: str, text_col: str, topic_of: Column | None, **raking) -> tuple[DataFrame, DataFrame]:
+    """Ids with their cells, and the cells with r, the weight per token."""
     tokens = F.coalesce(F.regexp_count("_text", F.lit(WORD)), F.lit(0)).cast("long").alias("n")
     keyed = materialize(_keyed(docs, id_col, text_col, topic_of).select("_id", *MARGINS, tokens), "keyed")  # texts are read once
     cells = materialize(keyed.groupBy(*MARGINS).agg(F.sum("n").alias("n")), "cells")
-    cells_with = cells.where("n > 0")
-    ratio = materialize(rake(cells_with, targets, temper, **raking).withColumn("r", F.col("w") / F.col("n")), "ratios")
+    return keyed, materialize(rake(cells.where("n > 0"), targets, temper, **raking).withColumn("r", F.col("w") / F.col("n")), "ratios")
+
+
+def _draw(id_: Column, seed: int) -> Column:
+    """A number from 0 to 1 by a hash of the id."""
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def mix(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float = 0.8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None, **raking) -> DataFrame:
+    """One row per document: doc_id, source, lang, topic, probability, kept."""
+    keyed, ratio = _weighed(docs, targets, temper, id_col, text_col, topic_of, **raking)
     top, count = ratio.agg(F.max("r"), F.count(F.lit(1))).first()
     side = ratio.select(*MARGINS, (F.col("r") / F.lit(float(top or 1.0))).alias("p"))
     joined = keyed.select("_id", *MARGINS).join(F.broadcast(side) if count <= BROADCAST_CELLS else side, list(MARGINS), "left")
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("_id").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     p = F.coalesce("p", F.lit(1.0))
-    return joined.select(F.col("_id").alias("doc_id"), *MARGINS, F.round(p, 6).alias("probability"), (draw < p).alias("kept"))
+    return joined.select(F.col("_id").alias("doc_id"), *MARGINS, F.round(p, 6).alias("probability"), (_draw(F.col("_id"), seed) < p).alias("kept"))
+
+
+def resample_mix(docs: DataFrame, targets: dict[str, dict] | None = None, temper: float = 0.8, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", topic_of: Column | None = None, **raking) -> DataFrame:
+    """The rows of ``docs``, each as often as its cell weighs: at 2.3 per token twice, and three tenths of the cell a third time.
+
+    So the expected tokens are as many as before, in the raked mix; where ``mix`` thins every cell to fit the one that weighs
+    most, here cells short of their share are repeated. Rows of cells without tokens stay as they are.
+    """
+    _, ratio = _weighed(docs, targets, temper, id_col, text_col, topic_of, **raking)
+    fresh = {m: unused(docs, f"_{m}") for m in (*MARGINS, "r", "copy")}
+    side = ratio.select(*(F.col(m).alias(fresh[m]) for m in MARGINS), F.col("r").alias(fresh["r"]))
+    keyed = docs.withColumns({fresh[m]: F.coalesce(c.cast("string"), F.lit(NONE)) for m, c in _margins(text_col, topic_of).items()})
+    met = keyed.join(F.broadcast(side) if ratio.count() <= BROADCAST_CELLS else side, [fresh[m] for m in MARGINS], "left")
+    r = F.coalesce(fresh["r"], F.lit(1.0))
+    times = (F.floor(r) + (_draw(F.col(id_col).cast("long"), seed) < r - F.floor(r)).cast("int")).cast("int")
+    return met.withColumn(fresh["copy"], F.explode(F.array_repeat(F.lit(True), times))).select(*docs.columns)
 
 
 def sample_mix(docs: DataFrame, **options) -> DataFrame:

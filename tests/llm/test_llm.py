@@ -591,7 +591,35 @@ def test_raking_settles(spark):
         mixing.rake(apart, {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.9, "y": 0.1}}, rounds=3, strict=True)
 
 
+def test_pipeline_mixes_whole_shares(spark, sf_dir):
+    """The pipeline's mixing meets op6's tempered shares and loses no tokens on the whole."""
+    import corpus_pipeline as p
+
+    n = {("a", "en"): 6000, ("a", "de"): 1500, ("b", "en"): 1000, ("b", "de"): 100}
+    rows, k = [], 0
+    for (source, lang), many in n.items():
+        rows += [(k + i, "w " * 5, lang, source, 10) for i in range(many)]
+        k += many
+    rows.append((k, None, "xx", "c", None))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = p.mix_sources(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert sum(r.text is None for r in kept) == 1
+    held = collections.Counter((r.source, r.lang) for r in kept if r.text)
+    assert abs(sum(held.values()) - 8600) < 250
+    for m, parts in ((0, ("a", "b")), (1, ("en", "de"))):
+        own = {c: sum(v for x, v in n.items() if x[m] == c) ** 0.8 for c in parts}
+        now = {c: sum(v for x, v in held.items() if x[m] == c) for c in parts}
+        for c in parts:
+            assert abs(now[c] / sum(now.values()) - own[c] / sum(own.values())) < 0.015
+    times = collections.Counter(r.doc_id for r in kept if (r.source, r.lang) == ("b", "de"))
+    assert len(times) == 100 and max(times.values()) - min(times.values()) <= 1
+    assert {tuple(r) for r in kept} <= set(rows)
+
+
 def test_mixing_cases(odd, empty):
+    assert mixing.resample_mix(empty).count() == 0 and mixing.resample_mix(odd).columns == odd.columns
     got = mixing.mix(odd)
     assert got.count() == odd.count() and got.where("lang = '(none)'").count() > 0
     assert mixing.mix(empty).count() == 0 and mixing.sample_mix(empty).count() == 0
